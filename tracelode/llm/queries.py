@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.llm.contamination import find_leaks
 from tracelode.llm.packing import pack, token_counts
 from tracelode.llm.splitting import split_oversized, trimmed
+from tracelode.llm.toxicity import THRESHOLD, score_texts
 from tracelode.tables import table
 
 SECTION_LIMIT, SECTION_OVERLAP = 2000, 200
@@ -54,7 +56,42 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (p6_found, p6_pieces, p7_packed, p7_fill)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of document and leaked benchmark item."""
+    return find_leaks(table(spark, folder, "documents"), "doc_id", F.col("text"), table(spark, folder, "benchmark"), "item_id", F.col("text"))
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leaked item with the number of documents that hold it, by suite."""
+    suites = table(spark, folder, "benchmark").select("item_id", "suite").distinct()
+    counts = p8_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    return suites.join(counts, "item_id", "left").select("item_id", "suite", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its score."""
+    return score_texts(table(spark, folder, "documents"), "doc_id", F.col("text"), keep=["source"])
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that are abusive, hateful or sexually explicit."""
+    return p9_scores(spark, folder).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the share of abusive ones for each source."""
+    return (
+        p9_scores(spark, folder)
+        .groupBy(F.coalesce("source", F.lit("")).alias("source"))
+        .agg(
+            F.count(F.lit(1)).alias("n_documents"),
+            F.count_if(F.col("score") >= THRESHOLD).alias("n_abusive"),
+            F.avg((F.col("score") >= THRESHOLD).cast("double")).alias("rate"),
+        )
+    )
+
+
+QUERIES = {q.__name__: q for q in (p6_found, p6_pieces, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_scores, p9_rates)}
 ORACLE: dict[str, str] = {
     "p6_found": r"""
         WITH t AS (
