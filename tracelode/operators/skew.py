@@ -42,3 +42,15 @@ def salted_left_join(
         F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
     )
     return salted.drop("__hot").join(spread_out.drop("__hot"), [*keys, "__salt"], "left").drop("__salt")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows over at least as many tasks as there are cores.
+
+    A table of one small file is read by one task; costly work on its rows would use one core.
+    Tables of enough parts stay as they are and are not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(2 * cores, key)
