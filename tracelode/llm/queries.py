@@ -9,6 +9,7 @@ from tracelode.llm.contamination import find_leaks
 from tracelode.llm.packing import pack, token_counts
 from tracelode.llm.splitting import split_oversized, trimmed
 from tracelode.llm.toxicity import THRESHOLD, score_texts
+from tracelode.llm.truncation import find_truncated
 from tracelode.tables import table
 
 SECTION_LIMIT, SECTION_OVERLAP = 2000, 200
@@ -21,6 +22,35 @@ def _section_text() -> Column:
     return trimmed(F.concat(head, F.coalesce(lines, F.lit(""))))
 
 
+def _delivered(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    rows = table(spark, folder, "fix_suggestions")
+    return {
+        "error_text": rows.select("suggestion_id", "source", F.col("error_text").alias("value")),
+        "reason": rows.select("suggestion_id", "source", F.col("fix_suggestion.reason").alias("value")),
+    }
+
+
+def _cut_values(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [
+        find_truncated(rows, ["suggestion_id"], "source", "value").withColumn("field_name", F.lit(field))
+        for field, rows in _delivered(spark, folder).items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that end before their author or program did."""
+    return _cut_values(spark, folder).where("cut").select("suggestion_id", "field_name").distinct()
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source delivers cut values, by field."""
+    values = _cut_values(spark, folder).groupBy("suggestion_id", "field_name").agg(F.first("source").alias("source"), F.max("cut").alias("cut"))
+    return values.groupBy("field_name", F.coalesce("source", F.lit("")).alias("source")).agg(
+        F.count(F.lit(1)).alias("n_values"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("rate")
+    )
+
+
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every oversized section, with its pages in order."""
     return split_oversized(
@@ -91,7 +121,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (p6_found, p6_pieces, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_scores, p9_rates)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_rates, p6_found, p6_pieces, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_scores, p9_rates)}
 ORACLE: dict[str, str] = {
     "p6_found": r"""
         WITH t AS (
