@@ -126,7 +126,7 @@ ORACLE: dict[str, str] = {
     "p6_found": r"""
         WITH t AS (
             SELECT section_key, coalesce(section_id, '') || ' ' || coalesce(title, '') || chr(10)
-                || coalesce(array_to_string(list_filter(content_lines, x -> x IS NOT NULL), chr(10)), '') AS text
+                || coalesce(array_to_string(list_filter(content_lines, lambda x: x IS NOT NULL), chr(10)), '') AS text
             FROM section_nodes
         )
         SELECT DISTINCT section_key FROM t
