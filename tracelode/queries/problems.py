@@ -140,3 +140,36 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (p2_found, p2_orphans_by_month, p4_found, p4_forms, p5_found)}
+
+_KEY = r"nullif(lower(regexp_replace({0}, '^[\s\x{{A0}}{{]+|[\s\x{{A0}}}}]+$', '', 'g')), '')"
+
+
+def _reference_sql(r: Reference) -> str:
+    child, target = _KEY.format(r.columns[0]), _KEY.format(r.target_columns[0])
+    return f"""
+        SELECT '{r.table}' AS src_table, c.id AS row_id,
+               CASE WHEN t.k IS NULL THEN 'absent' WHEN p.op = 'delete' THEN 'removed' WHEN t.seen > c.seen THEN 'late' END AS reason
+        FROM (SELECT {r.row_id} AS id, {child} AS k, ingested_at AS seen FROM {r.table}) c
+        LEFT JOIN (SELECT {target} AS k, min(ingested_at) AS seen FROM {r.target} GROUP BY 1) t ON c.k = t.k
+        LEFT JOIN (SELECT {_KEY.format('row_key')} AS k, arg_max(purge_op, purged_at) AS op FROM purge_log WHERE src_table = '{r.target}' GROUP BY 1) p ON c.k = p.k
+        WHERE c.k IS NOT NULL"""
+
+
+_ORPHANS = " UNION ALL ".join(_reference_sql(r) for r in REFERENCES)
+_MESSAGES = """
+    raw AS (SELECT DISTINCT rule_file_id, ltrim(rules, chr(65279)) AS t FROM ltm_mapping_rules WHERE json_valid(ltrim(rules, chr(65279)))),
+    doc AS (SELECT rule_file_id, CASE WHEN json_type(t) = 'VARCHAR' THEN ltrim(t::JSON ->> '$', chr(65279)) ELSE t END AS t FROM raw),
+    rule AS (SELECT rule_file_id, t, unnest(json_keys(t)) AS rule_key FROM doc WHERE json_valid(t)),
+    m0 AS (SELECT rule_file_id, rule_key, json_extract(t, '$."' || rule_key || '".messages') AS m FROM rule WHERE starts_with(rule_key, 'User Intent')),
+    m1 AS (SELECT rule_file_id, rule_key, CASE WHEN json_type(m) = 'VARCHAR' THEN (m ->> '$')::JSON ELSE m END AS m FROM m0),
+    m2 AS (SELECT rule_file_id, rule_key, CASE WHEN json_type(m) = 'OBJECT' THEN json_array(m) ELSE m END AS m FROM m1),
+    m3 AS (SELECT rule_file_id, rule_key, unnest(from_json(m, '["JSON"]')) AS e, generate_subscripts(from_json(m, '["JSON"]'), 1) AS pos FROM m2 WHERE json_type(m) = 'ARRAY')"""
+ORACLE = {
+    "p2_found": f"SELECT DISTINCT src_table, row_id FROM ({_ORPHANS}) WHERE reason IS NOT NULL",
+    "p5_found": f"""WITH {_MESSAGES},
+        c AS (SELECT suggestion_id, unnest(fix_suggestion.code_patches) AS e, generate_subscripts(fix_suggestion.code_patches, 1) AS pos FROM fix_suggestions),
+        b AS (SELECT crash_id, unnest(crash_info.backtrace) AS e, generate_subscripts(crash_info.backtrace, 1) AS pos FROM segmentation_fault_extraction)
+        SELECT DISTINCT 'fix_suggestions' AS src_table, suggestion_id::VARCHAR AS row_id, '' AS rule_key, pos::INT AS pos, coalesce(e.file_path, '') AS leaf FROM c WHERE e IS NOT NULL
+        UNION SELECT 'segmentation_fault_extraction', crash_id::VARCHAR, '', pos::INT, coalesce(e."function", '') FROM b WHERE e IS NOT NULL
+        UNION SELECT 'ltm_mapping_rules', rule_file_id::VARCHAR, rule_key, pos::INT, coalesce(trim(e ->> '$.msg_name', ' ' || chr(9) || chr(10)), '') FROM m3 WHERE e IS NOT NULL AND json_type(e) <> 'NULL'""",
+}

@@ -118,10 +118,9 @@ def text_fixed_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def text_categories(spark: SparkSession, folder: str) -> DataFrame:
     """Name labels, A6: how many functions of backtraces carry each label, and their share."""
     frames = table(spark, folder, "segmentation_fault_extraction").select(F.explode("crash_info.backtrace.function").alias("name")).where("name is not null").distinct()
-    total = frames.agg(F.count(F.lit(1)).alias("total"))
+    total = frames.count()
     labels = frames.select("name", F.explode(T.categories(F.col("name"))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    # One row: the total.
-    return labels.join(F.broadcast(total)).select("category", "n", F.round(F.col("n") * 100.0 / F.col("total"), 2).alias("percent"))
+    return labels.select("category", "n", F.round(F.col("n") * 100.0 / total, 2).alias("percent"))
 
 
 def text_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
@@ -309,3 +308,10 @@ ORACLE = {
 }
 ORACLE["text_numstat_totals"] = f"""SELECT CASE WHEN contains(path, '/') THEN array_to_string(string_split(path, '/')[1:2], '/') ELSE path END AS folder, count(*) AS n_files, sum(added)::BIGINT AS added, sum(removed)::BIGINT AS removed
     FROM ({ORACLE['text_numstat']}) GROUP BY 1"""
+ORACLE["text_paths"] = """WITH e AS (SELECT suggestion_id, unnest(list_distinct(regexp_extract_all(error_text, '[a-z][a-z0-9_]*(?:/[a-z0-9_]+)+[.][ch]'))) AS path FROM fix_suggestions WHERE error_text IS NOT NULL)
+    SELECT DISTINCT suggestion_id, lower(path) AS path FROM e"""
+ORACLE["text_role_filter"] = """WITH f AS (SELECT crash_id, unnest(crash_info.backtrace) AS f FROM segmentation_fault_extraction)
+    SELECT DISTINCT crash_id, f."function" AS "function", replace(f.file, chr(92), '/') AS file FROM f WHERE f."function" IS NOT NULL AND f.file IS NOT NULL AND f.file <> ''
+    AND NOT regexp_matches(lower(replace(f.file, chr(92), '/')), '/cu/|/ue/') AND NOT regexp_matches(lower(f."function"), '^(cu_|ue_)')"""
+ORACLE["text_durations"] = """WITH g AS (SELECT (epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY event_id)) // 1000 AS s FROM events), p AS (SELECT s FROM g WHERE s IS NOT NULL)
+    SELECT CASE WHEN s < 1 THEN '<1s' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' END AS label, count(*) AS n FROM p GROUP BY 1"""
