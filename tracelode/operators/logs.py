@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.operators.frames import frames
+
 # Level words and letters as programs write them, by the level they mean.
 LEVELS = {
     "DEBUG": ["debug", "dbg", "trace", "d"],
@@ -296,7 +298,7 @@ def mine(texts: DataFrame, column: str = "text") -> list[tuple[int, tuple, int]]
                     for _, _, line in logical_lines(text):
                         miner.add(line)
         found = miner.templates()
-        yield pd.DataFrame({"template": [repr((c, p)) for c, p, _ in found], "support": [s for _, _, s in found]})
+        yield from frames([(repr((c, p)), s) for c, p, s in found], ["template", "support"])
 
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from ast import literal_eval
@@ -306,7 +308,7 @@ def mine(texts: DataFrame, column: str = "text") -> list[tuple[int, tuple, int]]
             for text, support in zip(batch["template"], batch["support"]):
                 miner.put(literal_eval(text), int(support))
         found = miner.templates()
-        yield pd.DataFrame({"template": [repr((c, p)) for c, p, _ in found], "support": [s for _, _, s in found]})
+        yield from frames([(repr((c, p)), s) for c, p, s in found], ["template", "support"])
 
     schema = "template string, support long"
     partial = texts.select(column).mapInPandas(partly, schema).groupBy("template").agg(F.sum("support").alias("support"))
@@ -365,8 +367,8 @@ def parse_logs(rows: DataFrame, row_id: str, text: Column, patterns: list[str],
                 if value:
                     out += [(key, *e[: 6 if messages else 5]) for e in entries_of(value, known)]
                 if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=names)
+                    yield from frames(out, names)
                     out = []
-            yield pd.DataFrame(out, columns=names)
+            yield from frames(out, names)
 
     return rows.select(F.col(row_id).cast("string").alias("row_id"), text.alias("text")).where(F.col("text").isNotNull()).mapInPandas(parse, schema)

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.operators.frames import frames
+
 NODE_SCHEMA = "row_id string, node_type string, pre int, post int, depth int, name string, place int, scalar string"
 
 
@@ -101,9 +103,9 @@ def node_table(df: DataFrame, row_id: str, record: Column, types: dict[str, str]
                 for node in label_nodes(text, given, lone):
                     out.append((key, *node))
                 if len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=names)
+                    yield from frames(out, names)
                     out = []
-            yield pd.DataFrame(out, columns=names)
+            yield from frames(out, names)
 
     return df.select(F.col(row_id).cast("string").alias("row_id"), record.alias("record")).where(F.col("record").isNotNull()).mapInPandas(walk, NODE_SCHEMA)
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.operators.frames import frames
 from tracelode.operators.nesting import node_table
 from tracelode.operators.text import lines_of
 
@@ -70,7 +71,7 @@ def c_entities(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [(*key, *e) for *key, code in batch[[*keys, text]].itertuples(index=False, name=None) for e in code_entities(code)]
-            yield pd.DataFrame(out, columns=[*keys, *names])
+            yield from frames(out, [*keys, *names])
 
     found = df.select(*keys, text).where(F.col(text).isNotNull()).mapInPandas(scan, f"{kinds}, kind string, name string, start_line int, end_line int, signature string, body string")
     w = Window.partitionBy(*keys, "kind", "name").orderBy("start_line")

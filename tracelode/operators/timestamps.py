@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.operators.frames import frames
+
 DECLARED = 1000.0
 SWITCH = 1.0
 BACKWARD = 2.0
@@ -158,9 +160,8 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held.append((row, list(forms), [int(x) for x in instants], list(costs)))
             if len(forms) == 1:
                 out += close()
-        yield pd.DataFrame([(r[0], r[2], r[1]) for r in out], columns=["row", "utc_us", "form"])
-    out = close()
-    yield pd.DataFrame([(r[0], r[2], r[1]) for r in out], columns=["row", "utc_us", "form"])
+        yield from frames([(r[0], r[2], r[1]) for r in out], ["row", "utc_us", "form"])
+    yield from frames([(r[0], r[2], r[1]) for r in close()], ["row", "utc_us", "form"])
 
 
 def to_instants(
