@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.operators.frames import frames
 from tracelode.llm.words import bare_words
 from tracelode.operators.skew import spread
 
@@ -229,7 +230,7 @@ def word_counts(rows: DataFrame, block: list[tuple[object, str]]) -> dict[bytes,
             for value in batch["__text"]:
                 if value:
                     seen.update(filter(vocabulary.__contains__, bare_words(value)))
-        yield pd.DataFrame({"word": list(seen), "k": list(seen.values())})
+        yield from frames(list(seen.items()), ["word", "k"])
 
     counted = rows.select("__text").mapInPandas(count, "word binary, k long").groupBy("word").agg(F.sum("k").alias("k"))
     return {bytes(r["word"]): r["k"] for r in counted.collect()}
@@ -255,14 +256,8 @@ def find_leaks(documents: DataFrame, doc_id: str, text: Column, items: DataFrame
         def search(batches: Iterator[pd.DataFrame], block: list = block, often: dict = often) -> Iterator[pd.DataFrame]:
             index = Index(block, often)
             for batch in batches:
-                docs: list = []
-                leaked: list = []
-                for key, value in zip(batch[doc_id], batch["__text"]):
-                    if value:
-                        got = index.leaked(value)
-                        docs += [key] * len(got)
-                        leaked += got
-                yield pd.DataFrame({doc_id: docs, item_id: leaked})
+                out = [(key, item) for key, value in zip(batch[doc_id], batch["__text"]) if value for item in index.leaked(value)]
+                yield from frames(out, [doc_id, item_id])
 
         found.append(rows.mapInPandas(search, f"`{doc_id}` {doc_kind}, `{item_id}` {item_kind}"))
     return reduce(DataFrame.unionByName, found).distinct()

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.operators.frames import frames
 from tracelode.operators.skew import salted_left_join, spread
 
 #: Lengths of the token windows, longer first.
@@ -150,9 +151,9 @@ def model(values: DataFrame) -> DataFrame:
                         if parts:
                             seen["\x1b" + parts] += 1
             if len(seen) > 200_000:
-                yield pd.DataFrame({"s": list(seen), "n": list(seen.values())})
+                yield from frames(list(seen.items()), ["s", "n"])
                 seen.clear()
-        yield pd.DataFrame({"s": list(seen), "n": list(seen.values())})
+        yield from frames(list(seen.items()), ["s", "n"])
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,7 +167,7 @@ def model(values: DataFrame) -> DataFrame:
                 tokens, context = (x.split("\x1e") for x in s.split("\x1c"))
                 for key in window_keys(tokens, context):
                     keys[key] += n
-            yield pd.DataFrame({"key": list(keys), "n": list(keys.values())})
+            yield from frames(list(keys.items()), ["key", "n"])
 
     distinct = values.select("text").mapInPandas(collect, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
     return distinct.mapInPandas(expand, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -268,7 +269,7 @@ def find_truncated(rows: DataFrame, keys: list[str], source: str, text: str) ->
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             asked = [(tail, slot, key) for tail in batch["tail"] for slot, key in questions(tail)]
-            yield pd.DataFrame(asked, columns=["tail", "slot", "key"])
+            yield from frames(asked, ["tail", "slot", "key"])
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
