@@ -93,7 +93,7 @@ def graded(answer: Column, n: int) -> Column:
     """array<double>: grades `i: score - reason` of n candidates, 1 at most, 0.3 where missing: V25."""
     found = F.map_from_entries(
         F.filter(
-            F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(i.alias("k"), F.regexp_extract(answer, F.concat(F.lit("(?m)^\\s*"), i.cast("string"), F.lit("\\s*:\\s*([0-9]*\\.?[0-9]+)")), 1).try_cast("double").alias("v"))),
+            F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(i.alias("k"), F.call_function("regexp_extract", answer, F.concat(F.lit("(?m)^\\s*"), i.cast("string"), F.lit("\\s*:\\s*([0-9]*\\.?[0-9]+)")), F.lit(1)).try_cast("double").alias("v"))),
             lambda e: e["v"].isNotNull(),
         )
     )

@@ -111,7 +111,7 @@ def git_commits(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row for each commit of `git log` text: S8, T4."""
     block = df.where(F.col(text).isNotNull()).select(*keys, F.posexplode(F.split(F.replace(text, F.lit("\r"), F.lit("")), "(?m)(?=^commit [a-f0-9]{40})")).alias("pos", "b")).where(F.col("b").rlike("^commit [a-f0-9]{40}"))
     part = lambda p: F.nullif(F.regexp_extract("b", p, 1), F.lit(""))
-    message = F.filter(F.transform(F.split(F.regexp_extract("b", r"(?s)\n\n(.*)$", 1), "\n"), F.trim), lambda x: x != "")
+    message = F.filter(F.transform(F.split(F.regexp_extract("b", r"(?s)\n\n(.*)$", 1), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return block.select(
         *keys, "pos", part("^commit ([a-f0-9]{40})").alias("commit_hash"), part(r"(?m)^Merge: ([a-f0-9]+ [a-f0-9]+)").alias("merge"), part(r"(?m)^Author: +(.*?) *<").alias("author_name"),
         part(r"(?m)^Author: .*<(.*)>").alias("author_email"), part(r"(?m)^Date: +(.*)$").alias("date"), F.get(message, F.lit(0)).alias("subject"),
@@ -196,7 +196,7 @@ def salvaged_json(text: Column) -> Column:
 
 def local_names(body: Column, most: int = 20) -> Column:
     """array<string>: names declared in a function body, each once, first twenty: S32."""
-    found = F.regexp_extract_all(body, F.lit(r"(?:^|[;{]\s*)(?:const\s+|static\s+|unsigned\s+|struct\s+)*[A-Za-z_][A-Za-z0-9_]*\s*\*?\s+\*?([A-Za-z_][A-Za-z0-9_]*)\s*(?:=|;|\[)"), 1)
+    found = F.regexp_extract_all(body, F.lit(r"(?:^|(?<=[;{]))\s*(?:const\s+|static\s+|unsigned\s+|struct\s+)*[A-Za-z_][A-Za-z0-9_]*\s*\*?\s+\*?([A-Za-z_][A-Za-z0-9_]*)\s*(?:=|;|\[)"), 1)
     return F.slice(F.array_distinct(F.filter(found, lambda n: ~n.isin("return", "goto", "case"))), 1, most)
 
 

@@ -111,7 +111,8 @@ def greedy_sentences(sentences: Column, most: int) -> Column:
 
 def chunk_words(text: Column, most: int = 300, overlap: int = 50) -> Column:
     """Chunks by word count: whole up to most words, halves with overlap up to twice that, beyond
-    it sentences packed greedily, or strides where there is a single sentence."""
+    it sentences packed greedily, or strides where there is a single sentence.  Null is empty."""
+    text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     sentences = F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: s != "")
     joined = lambda parts: F.transform(parts, lambda p: F.array_join(p, " "))
