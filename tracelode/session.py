@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hands this package to the Python workers of the session, once.
+
+    Workers need not have the repository on their path; Spark serves the archive to executors,
+    those that are added later too.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(file.relative_to(root.parent)))
+    # Read by the driver alone, which serves it from here.
+    path = Path(tempfile.mkdtemp(prefix="tracelode-")) / "tracelode_package.zip"
+    path.write_bytes(packed.getvalue())
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
 
 def local_session(cpus: int | None = None, app: str = "tracelode") -> SparkSession:
     """A local session in UTC with as many shuffle partitions as cores."""
