@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.operators.frames import frames
+from tracelode.operators.skew import spread
 
 DECLARED = 1000.0
 SWITCH = 1.0
@@ -46,50 +47,49 @@ EPOCHS = [
 ]
 
 
-def _form_readings(text: Column, form: str, pattern: str, roles: list[str], zone: Column, month_first: Column) -> list[Column]:
-    part = {role: F.regexp_extract(text, pattern, i + 1) for i, role in enumerate(roles)}
-    number = lambda role: F.expr("0") if role not in part else F.coalesce(F.nullif(part[role], F.lit("")).try_cast("int"), F.lit(0))
-    year = number("y")
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    hour = number("h")
-    if "p" in part:
-        half = part["p"]
-        twelve = F.when(hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
-        hour = F.when(half == "", hour).otherwise(twelve)
-    second = number("s")
-    if "frac" in part:
-        micros = F.substring(F.rpad(part["frac"], 6, "0"), 1, 6).try_cast("int")
-    else:
-        micros = F.lit(0)
-    if "M" in part:
-        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part["M"]).cast("int")
-        readings = [(form, month, number("d"), F.lit(0.0))]
-    elif "a" in part:
-        first, other = number("a"), number("b")
-        readings = [
-            ("numeric_dmy", other, first, F.when(month_first, DECLARED).otherwise(0.0)),
-            ("numeric_mdy", first, other, F.when(month_first, 0.0).otherwise(DECLARED)),
-        ]
-    else:
-        readings = [(form, number("m"), number("d"), F.lit(0.0))]
-    fits = text.rlike(pattern) & (hour < 24) & (number("min") < 60) & (second < 60)
-    offset = part.get("o", F.lit(""))
-    digits = F.regexp_replace(offset, "[^0-9]", "")
-    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).try_cast("int"), F.lit(0))
-    shift = F.when(offset.rlike(r"^[+-]"), F.when(offset.startswith("-"), -minutes).otherwise(minutes)).otherwise(F.lit(0))
-    out = []
-    for name, month, day, cost in readings:
-        wall = F.try_make_timestamp(year, month, day, hour, number("min"), second, F.lit("UTC"))
-        fixed = F.unix_micros(wall) - shift.cast("long") * 60_000_000
-        local = F.unix_micros(F.to_utc_timestamp(wall, zone))
-        if "z" in part:
-            # A zone in brackets without an offset: only names of the zone database are read.
-            name_of = F.initcap(F.replace(F.lower(part["z"]), F.lit("/"), F.lit(" / ")))
-            named = F.replace(name_of, F.lit(" / "), F.lit("/"))
-            local = F.when(part["z"].rlike("^[A-Z]+/[A-Z]+$"), F.unix_micros(F.to_utc_timestamp(wall, named))).otherwise(local)
-        us = F.when(offset != "", fixed).otherwise(local) + micros.cast("long")
-        out.append(F.when(fits & wall.isNotNull(), F.struct(F.lit(name).alias("form"), us.alias("utc_us"), cost.alias("cost"))))
-    return out
+def _form_readings(text: Column, pattern: str, form: str, roles: list[str], zone: Column, month_first: Column) -> Column:
+    """array of the readings of one form; the pattern runs once and its groups are bound to g."""
+    groups = F.split(F.regexp_replace(text, pattern, "\x1f".join(f"${i + 1}" for i in range(len(roles)))), "\x1f")
+    matched = F.array_compact(F.array(F.when(text.rlike(pattern), groups)))
+
+    def read(g: Column) -> Column:
+        part = {role: g[i] for i, role in enumerate(roles)}
+        number = lambda role: F.coalesce(part[role].try_cast("int"), F.lit(0)) if role in part else F.lit(0)
+        year = number("y")
+        year = F.when(year < 100, year + 2000).otherwise(year)
+        hour = number("h")
+        if "p" in part:
+            twelve = F.when(hour.between(1, 12), hour % 12 + F.when(part["p"] == "PM", 12).otherwise(0))
+            hour = F.when(part["p"] == "", hour).otherwise(twelve)
+        micros = F.substring(F.rpad(part["frac"], 6, "0"), 1, 6).try_cast("long") if "frac" in part else F.lit(0)
+        if "M" in part:
+            month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part["M"]).cast("int")
+            dates = [(form, month, number("d"), F.lit(0.0))]
+        elif "a" in part:
+            dates = [
+                ("numeric_dmy", number("b"), number("a"), F.when(month_first, DECLARED).otherwise(0.0)),
+                ("numeric_mdy", number("a"), number("b"), F.when(month_first, 0.0).otherwise(DECLARED)),
+            ]
+        else:
+            dates = [(form, number("m"), number("d"), F.lit(0.0))]
+        fits = (hour < 24) & (number("min") < 60) & (number("s") < 60)
+        offset = part.get("o", F.lit(""))
+        digits = F.replace(F.substring(offset, 2, 5), F.lit(":"), F.lit(""))
+        minutes = F.substring(digits, 1, 2).try_cast("long") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("long"), F.lit(0))
+        shift = F.when(offset.startswith("+"), minutes).when(offset.startswith("-"), -minutes).otherwise(F.lit(0))
+        out = []
+        for name, month, day, cost in dates:
+            wall = F.try_make_timestamp(year, month, day, hour, number("min"), number("s"), F.lit("UTC"))
+            local = F.unix_micros(F.to_utc_timestamp(wall, zone))
+            if "z" in part:
+                # A zone in brackets without an offset: Area/City of the zone database.
+                named = F.replace(F.initcap(F.replace(F.lower(part["z"]), F.lit("/"), F.lit(" / "))), F.lit(" / "), F.lit("/"))
+                local = F.when(part["z"].rlike("^[A-Z]+/[A-Z]+$"), F.unix_micros(F.to_utc_timestamp(wall, named))).otherwise(local)
+            us = F.when(offset != "", F.unix_micros(wall) - shift * 60_000_000).otherwise(local) + micros
+            out.append(F.when(fits & wall.isNotNull(), F.struct(F.lit(name).alias("form"), us.alias("utc_us"), cost.alias("cost"))))
+        return F.array(*out)
+
+    return F.flatten(F.transform(matched, read))
 
 
 def readings(value: Column, zone: Column, month_first: Column, undeclared: bool = True) -> Column:
@@ -102,13 +102,11 @@ def readings(value: Column, zone: Column, month_first: Column, undeclared: bool
     skipped takes the offset in force before the change (both as java.time has it).
     """
     text = F.upper(F.regexp_replace(F.regexp_replace(value, r"^[\s ﻿]+|[\s ﻿]+$", ""), r"[\s ]+", " "))
-    every: list[Column] = []
-    for form, pattern, roles in FORMS:
-        every += _form_readings(text, form, pattern, roles, zone, month_first)
+    every = []
     for form, pattern, unit in EPOCHS:
         us = F.floor(text.try_cast("decimal(28,9)") * unit).cast("long")
         every.append(F.when(text.rlike(pattern), F.struct(F.lit(form).alias("form"), us.alias("utc_us"), F.lit(0.0).alias("cost"))))
-    listed = F.array_compact(F.array(*every))
+    listed = F.array_compact(F.concat(F.array(*every), *[_form_readings(text, p, form, roles, zone, month_first) for form, p, roles in FORMS]))
     return listed if undeclared else F.filter(listed, lambda r: r["cost"] < DECLARED)
 
 
@@ -157,6 +155,8 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if where != block:
                 out += close()
                 block, last = where, None
+            if not len(forms):
+                continue
             held.append((row, list(forms), [int(x) for x in instants], list(costs)))
             if len(forms) == 1:
                 out += close()
@@ -175,13 +175,12 @@ def to_instants(
     """
     hour = F.date_trunc("hour", order)
     listed = (
-        df.select(
+        spread(df, row_id).select(
             F.xxhash64(source, hour).alias("block"),
             order.alias("ord"),
             F.col(row_id).cast("string").alias("row"),
             readings(value, zone, month_first, undeclared).alias("r"),
         )
-        .where(F.size("r") > 0)
         .select("block", "ord", "row", F.col("r.form").alias("forms"), F.col("r.utc_us").alias("instants"), F.col("r.cost").alias("costs"))
     )
     ordered = listed.repartition("block").sortWithinPartitions("block", "ord", "row").drop("ord")
