@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["problems", "logs", "vectors", "texts", "relations", "sources"]
+MODULES = ["problems", "logs", "vectors", "texts", "relations", "sources", "filters"]
 
 
 def _merged(attribute: str) -> dict:
