@@ -9,6 +9,8 @@ from tracelode.operators import filters as X
 from tracelode.operators import graph as G
 from tracelode.operators import vectors as V
 from tracelode.queries.relations import compiler_error_clusters, compiler_error_rows, section_references
+from tracelode.queries.relations_sql import ORACLE as RELATIONS
+from tracelode.queries.vectors import ORACLE as VECTORS
 from tracelode.tables import table
 
 # Settings files in use.
@@ -219,3 +221,19 @@ ORACLE = {
         SELECT session_id, stage_name, row_number() OVER (PARTITION BY session_id ORDER BY created_at, stage_run_id) AS place FROM r""",
     "text_tails": "SELECT DISTINCT file_id, md5(right(log_text, 10000)) AS tail_md5 FROM rca_logs WHERE log_text IS NOT NULL",
 }
+ORACLE |= {
+    "flow_messages": """WITH f AS (SELECT DISTINCT crash_id, list_transform(list_filter(crash_info.scenario_flow, lambda s: s IS NOT NULL), lambda s: regexp_replace(s, ' [a-z]+$', '')) AS m FROM segmentation_fault_extraction WHERE crash_info.scenario_flow IS NOT NULL),
+        u AS (SELECT crash_id, m, unnest(m) AS x, generate_subscripts(m, 1) AS i FROM f), o AS (SELECT crash_id, m, x, min(i) AS i FROM u GROUP BY ALL),
+        a AS (SELECT crash_id, m, string_agg(x, ' > ' ORDER BY i) AS messages FROM o GROUP BY crash_id, m)
+        SELECT f.crash_id, coalesce(messages, '') AS messages FROM f LEFT JOIN a ON f.crash_id = a.crash_id AND f.m = a.m""",
+    "primary_error_rows": f"""WITH e AS ({RELATIONS['compiler_error_rows']}), c AS ({RELATIONS['compiler_error_clusters']})
+        SELECT suggestion_id, line_no, category FROM e WHERE EXISTS (SELECT 1 FROM c WHERE c.cluster_id = 'c0' AND c.suggestion_id = e.suggestion_id AND c.category = e.category)""",
+    "semantic_edges": f"""WITH near AS ({VECTORS['vec_topk_cosine']}), l AS (SELECT DISTINCT vec_id, label FROM embeddings),
+        p AS (SELECT near.query_id, near.vec_id, near.rank, b.label, a.label AS own FROM near JOIN l a ON a.vec_id = near.query_id JOIN l b ON b.vec_id = near.vec_id WHERE a.label <> b.label),
+        five AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5)
+        SELECT query_id AS src, vec_id AS dst, CASE WHEN label > own THEN 'DEPENDS_ON' ELSE 'RELATED_TO' END AS kind FROM five
+        UNION SELECT vec_id, query_id, CASE WHEN label > own THEN 'PREREQUISITE_FOR' ELSE 'RELATED_TO' END FROM five""",
+    "reference_chain": f"""WITH RECURSIVE e AS (SELECT DISTINCT doc_id || '#' || src AS src, doc_id || '#' || dst AS dst FROM ({RELATIONS['section_references']})),
+        w AS (SELECT DISTINCT src AS node, 0 AS depth FROM e UNION ALL SELECT e.dst, depth + 1 FROM w JOIN e ON w.node = e.src WHERE depth < 3)
+        SELECT depth, count(*) AS n FROM (SELECT node, min(depth) AS depth FROM w GROUP BY node) GROUP BY depth""",
+}

@@ -173,3 +173,13 @@ ORACLE = {
         UNION SELECT 'segmentation_fault_extraction', crash_id::VARCHAR, '', pos::INT, coalesce(e."function", '') FROM b WHERE e IS NOT NULL
         UNION SELECT 'ltm_mapping_rules', rule_file_id::VARCHAR, rule_key, pos::INT, coalesce(trim(e ->> '$.msg_name', ' ' || chr(9) || chr(10)), '') FROM m3 WHERE e IS NOT NULL AND json_type(e) <> 'NULL'""",
 }
+
+
+def _months_sql(r: Reference) -> str:
+    return f"""
+        SELECT '{r.table}' AS src_table, month, count(*) AS n_rows, {', '.join(f"count(*) FILTER (reason = '{x}') AS n_{x}" for x in ('absent', 'removed', 'late'))}
+        FROM (SELECT {r.row_id} AS id, min(coalesce(strftime(try_cast(created_at AS TIMESTAMPTZ), '%Y-%m'), 'unknown')) AS month FROM {r.table} GROUP BY 1) m
+        LEFT JOIN (SELECT row_id, min(reason) AS reason FROM ({_reference_sql(r)}) WHERE reason IS NOT NULL GROUP BY row_id) o ON m.id = o.row_id GROUP BY month"""
+
+
+ORACLE["p2_orphans_by_month"] = " UNION ALL ".join(_months_sql(r) for r in REFERENCES)

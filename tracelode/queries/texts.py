@@ -315,3 +315,8 @@ ORACLE["text_role_filter"] = """WITH f AS (SELECT crash_id, unnest(crash_info.ba
     AND NOT regexp_matches(lower(replace(f.file, chr(92), '/')), '/cu/|/ue/') AND NOT regexp_matches(lower(f."function"), '^(cu_|ue_)')"""
 ORACLE["text_durations"] = """WITH g AS (SELECT (epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY event_id)) // 1000 AS s FROM events), p AS (SELECT s FROM g WHERE s IS NOT NULL)
     SELECT CASE WHEN s < 1 THEN '<1s' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' END AS label, count(*) AS n FROM p GROUP BY 1"""
+ORACLE["text_paragraphs"] = r"""WITH s AS (SELECT section_key, any_value(content_lines) AS ls FROM section_nodes WHERE content_lines IS NOT NULL GROUP BY section_key),
+    l AS (SELECT section_key, trim(unnest(ls)) AS line, generate_subscripts(ls, 1) AS n FROM s),
+    k AS (SELECT *, sum((line = '')::INT) OVER (PARTITION BY section_key ORDER BY n ROWS UNBOUNDED PRECEDING) AS paragraph FROM l WHERE line IS NOT NULL AND NOT regexp_matches(line, '^Release [0-9]+\s|^[0-9]+$')),
+    t AS (SELECT section_key, paragraph, replace(string_agg(line, ' ' ORDER BY n), '- ', '') AS text FROM k WHERE line <> '' GROUP BY section_key, paragraph)
+    SELECT section_key, paragraph::BIGINT AS paragraph, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM t"""
