@@ -68,10 +68,10 @@ def mask(token: str) -> tuple[str, str]:
         return form, form
     if any(c.isdigit() for c in bare):
         return (form := re.sub(r"\d+(?:\.\d+)*", "0", bare)), form
-    if re.fullmatch(r"[-~^=*#+]{2,}", bare):
-        return (form := bare[0] * 2), form
     if re.fullmatch(r"\^~*", bare):
-        return "^", "^"
+        return bare, "^"  # a marker under code: its length shows where it was cut
+    if re.fullmatch(r"[-~=*#+]{2,}", bare):
+        return (form := bare[0] * 2), form
     if re.fullmatch(r"[a-z]+[A-Z]\w*", bare):
         return bare, "I"
     return bare, bare
