@@ -6,6 +6,7 @@ product, and the best of each are merged.  No pair of rows is ever a row of its
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 
@@ -93,6 +94,47 @@ def nearest(
     )
 
 
+def nearest_sparse(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, k: int, keep_above: float, digits: int = 6) -> DataFrame:
+    """(query_id, row_id, score, rank): the k best rows of every query by the inner product of
+    sparse vectors (columns terms, weights), rounded to digits, above keep_above.
+
+    Rows and queries are cut into blocks as in nearest; within a pair of blocks the postings of
+    the queries are added up term by term, so no row of a shared term is ever listed.  A row is
+    not its own match; ties go to the smaller row id; rows without terms match nothing.
+    """
+    nc, nq = _blocks(rows.count(), CORPUS_BLOCK), _blocks(queries.count(), QUERY_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select(F.col(row_id).cast("long").alias("id"), "terms", "weights").withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(nc * 8)).cast("int")).withColumn("qb", every(nq))
+    # Fresh names: queries may come from rows themselves.
+    right = queries.select(F.col(query_id).cast("long").alias("id"), F.col("terms").alias("terms"), F.col("weights").alias("weights")).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("cb", every(nc * 8))
+
+    def best(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        postings: dict[str, tuple[list, list]] = {}
+        for i, (terms, weights) in enumerate(zip(q["terms"], q["weights"])):
+            for t, w in zip(terms, weights):
+                places, values = postings.setdefault(t, ([], []))
+                places.append(i)
+                values.append(w)
+        packed = {t: (np.array(a), np.array(b)) for t, (a, b) in postings.items()}
+        qids = q["id"].to_numpy()
+        out: list[list[tuple[float, int]]] = [[] for _ in qids]
+        for own, terms, weights in zip(c["id"], c["terms"], c["weights"]):
+            total = np.zeros(len(qids))
+            for t, w in zip(terms, weights):
+                if (hit := packed.get(t)) is not None:
+                    total[hit[0]] += w * hit[1]
+            total = np.round(total, digits)
+            for i in np.flatnonzero(total > keep_above):
+                if qids[i] != own:
+                    out[i].append((-total[i], own))
+        rows_out = [(int(qids[i]), int(own), float(-s)) for i, found in enumerate(out) for s, own in heapq.nsmallest(k, found)]
+        return pd.DataFrame(rows_out, columns=["q", "c", "score"]).astype({"q": "int64", "c": "int64", "score": "float64"})
+
+    part = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(best, "q long, c long, score double")
+    place = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    return part.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("c").alias(row_id), "score", "rank")
+
+
 def coarse_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, centroid): the mean vector of each label, the coarse cells of an inverted file."""
     parts = df.where(F.col(vector).isNotNull()).select(label, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelode.operators import text as T
+from tracelode.operators import vectors as V
 from tracelode.tables import table
 
 # What makes a log line worth keeping, most important first.
@@ -190,12 +191,9 @@ def text_tfidf(spark: SparkSession, folder: str) -> DataFrame:
     n = docs.count()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = tf.join(df, "term").withColumn("w", F.col("tf") * F.log((1.0 + n) / (1.0 + F.col("df"))))
-    norm = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norm, "doc_id").where("norm > 0").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w"))
-    queries = unit.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("qw"))
-    scores = queries.join(unit, "term").where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scores.where("score > 0.01").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query_id", "doc_id", "rank", "score")
+    vectors = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
+    unit = vectors.where("norm > 0").select("doc_id", "terms", F.transform("ws", lambda w: w / F.col("norm")).alias("weights"))
+    return V.nearest_sparse(unit, unit.where(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id"), "doc_id", "query_id", 10, 0.01).select("query_id", "doc_id", "rank", "score")
 
 
 def text_pattern_match(spark: SparkSession, folder: str) -> DataFrame:
