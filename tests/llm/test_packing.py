@@ -25,14 +25,14 @@ def test_plan_uses_every_item_once_and_fits(histogram):
 
 
 def test_items_whole_and_capacity_kept(spark):
-    sizes = [(i, (i * 37) % 97 + 1) for i in range(3000)] + [(9001, 100), (9002, 250), (9003, 0), (9004, 1000), (9005, None)]
-    df = spark.createDataFrame([(k, n, 5) for k, n in sizes], "doc_id long, n_tokens int, container int").where("n_tokens is not null")
+    sizes = [(i, (i * 37) % 97 + 1) for i in range(3000)] + [(9001, 100), (9002, 250), (9003, 0), (9004, 1000), (9005, None), (9006, -3)]
+    df = spark.createDataFrame([(k, n, 5) for k, n in sizes], "doc_id long, n_tokens int, container int")
     rows = pack(df, "doc_id", 100).collect()
     load, parts = Counter(), {}
     for r in rows:
         load[r["container"]] += r["n_tokens"]
         parts.setdefault(r["doc_id"], []).append(r["n_tokens"])
-    want = {k: n for k, n in sizes if n is not None}
+    want = {k: max(n or 0, 0) for k, n in sizes}
     assert {k: sum(v) for k, v in parts.items()} == want
     assert all(len(parts[k]) == 1 for k, n in want.items() if n <= 100)
     assert sorted(parts[9002]) == [50, 100, 100] and parts[9004] == [100] * 10 and parts[9003] == [0]

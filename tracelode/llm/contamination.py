@@ -243,11 +243,10 @@ def find_leaks(documents: DataFrame, doc_id: str, text: Column, items: DataFrame
     without words and null or empty documents are in no pair; repeated rows give their pairs
     once.  The items of a block (at most BLOCK) go to every task.
     """
-    held = items.select(item_id, item_text.alias("__text")).where(F.col("__text").isNotNull()).distinct()
+    held = items.select(F.col(item_id).cast("string").alias(item_id), item_text.alias("__text")).where(F.col("__text").isNotNull()).distinct()
     blocks = max(1, math.ceil(held.count() / BLOCK))
-    doc_kind = documents.schema[doc_id].dataType.simpleString()
-    item_kind = items.schema[item_id].dataType.simpleString()
-    rows = spread(documents.select(doc_id, text.alias("__text")).where(F.col("__text").isNotNull()), doc_id)
+    # Keys travel as text: pandas would turn integers beside a null into floats.
+    rows = spread(documents.select(F.col(doc_id).cast("string").alias(doc_id), text.alias("__text")).where(F.col("__text").isNotNull()), doc_id)
     found = []
     for k in range(blocks):
         block = [(r[0], r[1]) for r in held.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k).collect()]
@@ -259,5 +258,6 @@ def find_leaks(documents: DataFrame, doc_id: str, text: Column, items: DataFrame
                 out = [(key, item) for key, value in zip(batch[doc_id], batch["__text"]) if value for item in index.leaked(value)]
                 yield from frames(out, [doc_id, item_id])
 
-        found.append(rows.mapInPandas(search, f"`{doc_id}` {doc_kind}, `{item_id}` {item_kind}"))
-    return reduce(DataFrame.unionByName, found).distinct()
+        found.append(rows.mapInPandas(search, f"`{doc_id}` string, `{item_id}` string"))
+    pairs = reduce(DataFrame.unionByName, found).distinct()
+    return pairs.select(F.col(doc_id).cast(documents.schema[doc_id].dataType).alias(doc_id), F.col(item_id).cast(items.schema[item_id].dataType).alias(item_id))

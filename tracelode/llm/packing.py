@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracelode.operators.skew import spread
 from tracelode.session import cut_lineage
 
 TOKENIZER = os.environ.get("TRACELODE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -50,8 +51,10 @@ def token_counts(df: DataFrame, key: str, text: Column, path: str = TOKENIZER) -
             sizes = [len(encoder.encode_ordinary(t)) if t else 0 for t in batch["__text"]]
             yield pd.DataFrame({key: batch[key], "n_tokens": sizes})
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text.alias("__text")).mapInPandas(count, f"`{key}` {kind}, n_tokens int")
+    # Keys travel as text: pandas would turn integers beside a null into floats.
+    rows = spread(df.select(F.col(key).cast("string").alias(key), text.alias("__text")), key)
+    counted = rows.mapInPandas(count, f"`{key}` string, n_tokens int")
+    return counted.select(F.col(key).cast(df.schema[key].dataType).alias(key), "n_tokens")
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -89,7 +92,7 @@ def pack(sizes: DataFrame, key: str, capacity: int) -> DataFrame:
     """(key, part, n_tokens, container) of every item of sizes (key, n_tokens).
 
     An item above capacity is cut into parts: full containers of its own and a rest that is
-    packed like an item.  Items of no size go to container 0.  Keys are expected once; a
+    packed like an item.  Items of no size, null or negative ones too, go to container 0.  Keys are expected once; a
     repeated key is an item of its own.  An empty table gives no rows.  The numbers that come
     to the driver are counts by length and salt, at most capacity x SALTS.
     """
@@ -97,7 +100,7 @@ def pack(sizes: DataFrame, key: str, capacity: int) -> DataFrame:
     items = cut_lineage(
         sizes.select(
             F.col(key),
-            F.col("n_tokens").cast("long").alias("n"),
+            F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).alias("n"),
             F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"),
         )
     )

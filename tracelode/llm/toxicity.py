@@ -274,7 +274,8 @@ def score_texts(documents: DataFrame, doc_id: str, text: Column, keep: list[str]
     A narrow step: rows keep their partition, whole texts are read, nothing is shuffled.
     """
     kept = keep or []
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in [doc_id, *kept])
+    every = [doc_id, *kept]
+    kinds = ", ".join(f"`{c}` string" for c in every)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer()
@@ -282,5 +283,7 @@ def score_texts(documents: DataFrame, doc_id: str, text: Column, keep: list[str]
             got = [scorer.score(t) if t else (0.0, 0) for t in batch["__text"]]
             yield batch[[doc_id, *kept]].assign(score=[g[0] for g in got], n_abusive=[g[1] for g in got])
 
-    rows = spread(documents.select(doc_id, *kept, text.alias("__text")), doc_id)
-    return rows.mapInPandas(run, f"{kinds}, score double, n_abusive int")
+    # Columns travel as text: pandas would turn integers beside a null into floats.
+    rows = spread(documents.select(*[F.col(c).cast("string").alias(c) for c in every], text.alias("__text")), doc_id)
+    scored = rows.mapInPandas(run, f"{kinds}, score double, n_abusive int")
+    return scored.select(*[F.col(c).cast(documents.schema[c].dataType).alias(c) for c in every], "score", "n_abusive")

@@ -259,7 +259,8 @@ def find_truncated(rows: DataFrame, keys: list[str], source: str, text: str) ->
     behind.  A text that is complete but ends without a full stop is no cut.  Repeated rows
     stay repeated; what other columns hold does not matter.
     """
-    values = spread(rows.select(*keys, F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("text") != ""), keys[0])
+    # Keys travel as text: pandas would turn integers beside a null into floats.
+    values = spread(rows.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("text") != ""), keys[0])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -276,7 +277,7 @@ def find_truncated(rows: DataFrame, keys: list[str], source: str, text: str) ->
             ends = [verdict(tail, {a["slot"]: a["n"] for a in answers}) for tail, answers in zip(batch["tail"], batch["answers"])]
             yield pd.DataFrame({"tail": batch["tail"], "ending": ends})
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    kinds = ", ".join(f"`{c}` string" for c in keys)
     read_rows = values.mapInPandas(read, f"{kinds}, source string, tail string, size int, sure boolean, is_open boolean")
     tails = read_rows.select("tail").distinct()
     asked = tails.mapInPandas(ask, "tail string, slot string, key long")
@@ -297,4 +298,4 @@ def find_truncated(rows: DataFrame, keys: list[str], source: str, text: str) ->
     placed = salted_left_join(read_rows, decided, ["tail"], F.col(keys[0])).join(limits, ["source", "size"], "left")
     at_limit = F.coalesce("at_limit", F.lit(False))
     ending = F.coalesce("ending", F.lit("open"))
-    return placed.select(*keys, "source", (F.col("sure") | (ending == "cut") | (at_limit & F.col("is_open"))).alias("cut"), "ending", at_limit.alias("at_limit"))
+    return placed.select(*[F.col(k).cast(rows.schema[k].dataType).alias(k) for k in keys], "source", (F.col("sure") | (ending == "cut") | (at_limit & F.col("is_open"))).alias("cut"), "ending", at_limit.alias("at_limit"))
