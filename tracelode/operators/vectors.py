@@ -42,20 +42,20 @@ def nearest(
     """(query_id, corpus_id, score): the k best corpus rows of every query.
 
     metric is cosine (higher is better), ip or l2 (lower is better, a true distance).  Ties go
-    to the smaller corpus id.  Rows without a vector are left out.  keep_above drops weaker
+    to the smaller corpus id.  Rows without a vector or an id are left out.  keep_above drops weaker
     scores before the k best are taken; same keeps a row's match with its own id.
     """
     nc = _blocks(corpus.count() if corpus_rows is None else corpus_rows, CORPUS_BLOCK)
     nq = _blocks(queries.count() if query_rows is None else query_rows, QUERY_BLOCK)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = (
-        corpus.where(F.col(vector).isNotNull())
+        corpus.where(F.col(vector).isNotNull() & F.col(corpus_id).isNotNull())
         .select(F.col(corpus_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
         .withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int"))
         .withColumn("qb", every(nq))
     )
     right = (
-        queries.where(F.col(vector).isNotNull())
+        queries.where(F.col(vector).isNotNull() & F.col(query_id).isNotNull())
         .select(F.col(query_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
         .withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int"))
         .withColumn("cb", every(nc))
