@@ -62,13 +62,17 @@ def _with_site(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
     )
 
 
-def _instants(spark: SparkSession, folder: str) -> DataFrame:
+def _written(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     sessions = table(spark, folder, "sessions").select(F.col("session_id").alias("id"), F.col("created_at").alias("written"), "site", "ingested_at")
     crashes = table(spark, folder, "segmentation_fault_extraction").select(
         F.col("crash_id").cast("string").alias("id"), F.col("crash_info.timestamp").alias("written"), "site", "ingested_at"
     )
+    return {"sessions": sessions, "segmentation_fault_extraction": crashes}
+
+
+def _instants(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
-    for name, rows in (("sessions", sessions), ("segmentation_fault_extraction", crashes)):
+    for name, rows in _written(spark, folder).items():
         placed = _with_site(spark, folder, rows.where(F.col("written").isNotNull()))
         got = to_instants(
             placed,
@@ -89,6 +93,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return _instants(spark, folder).select("src_table", "row_id", "utc_us").distinct()
 
 
+def p4_set_apart(spark: SparkSession, folder: str) -> DataFrame:
+    """The values that hold no instant, null ones too, as they were written."""
+    written = [rows.select(F.lit(name).alias("src_table"), F.col("id").alias("row_id"), "written") for name, rows in _written(spark, folder).items()]
+    return reduce(DataFrame.unionByName, written).join(p4_found(spark, folder).select("src_table", "row_id"), ["src_table", "row_id"], "left_anti").distinct()
+
+
 def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
     """How often each table writes each form."""
     return _instants(spark, folder).groupBy("src_table", "form").agg(F.count(F.lit(1)).alias("n"))
@@ -139,7 +149,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_orphans_by_month, p4_found, p4_forms, p5_found)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_orphans_by_month, p4_found, p4_set_apart, p4_forms, p5_found)}
 
 _KEY = r"nullif(lower(regexp_replace({0}, '^[\s\x{{A0}}{{]+|[\s\x{{A0}}}}]+$', '', 'g')), '')"
 
