@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tracelode.operators.frames import frames
 from tracelode.operators.skew import salted_left_join, spread
+from tracelode.session import cut_lineage
 
 #: Lengths of the token windows, longer first.
 WINDOWS = (3, 2, 1)
@@ -278,7 +279,9 @@ def find_truncated(rows: DataFrame, keys: list[str], source: str, text: str) ->
             yield pd.DataFrame({"tail": batch["tail"], "ending": ends})
 
     kinds = ", ".join(f"`{c}` string" for c in keys)
-    read_rows = values.mapInPandas(read, f"{kinds}, source string, tail string, size int, sure boolean, is_open boolean")
+    # Reading the texts is the dear step and its result is short: it is kept in the shared folder
+    # and used five times.
+    read_rows = cut_lineage(values.mapInPandas(read, f"{kinds}, source string, tail string, size int, sure boolean, is_open boolean"))
     tails = read_rows.select("tail").distinct()
     asked = tails.mapInPandas(ask, "tail string, slot string, key long")
     # Questions that nothing answers are kept as zero, so that every tail has a verdict.
