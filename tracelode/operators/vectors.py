@@ -136,7 +136,7 @@ def nearest_sparse(rows: DataFrame, queries: DataFrame, row_id: str, query_id: s
 
 
 def coarse_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """(label, centroid): the mean vector of each label, the coarse cells of an inverted file."""
+    """(label, centroid): the mean vector of each label."""
     parts = df.where(F.col(vector).isNotNull()).select(label, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
     means = parts.groupBy(label, "i").agg(F.avg("x").alias("x"))
     return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centroid"))
