@@ -1,13 +1,12 @@
-"""Log text of unknown programs to entries, by mined line templates.
+"""Log text of unknown programs to entries, by header shapes found in the texts.
 
 1. Every line is cut into typed tokens (time, level, name, number, hex, path, punctuation).
-2. Each partition clusters its token sequences by longest common subsequence; a template keeps
-   the common tokens and marks the rest as gaps.  A gap may not fall inside a header, so two
-   layouts that differ in their header never merge.
-3. The templates of all partitions, a few hundred rows whatever the data, are merged the same way.
-4. The slots of a template are classified by type and surroundings into time, level and
-   component; templates with a header are compiled to one pattern each and every row is parsed
-   with them.
+2. classify() reads the header of each single line by fixed rules: which tokens are time, level
+   and component.  A layout outside these rules gives no entries.
+3. Each partition clusters its token sequences by longest common subsequence within one header;
+   a template keeps the common tokens and marks the rest as gaps.  The templates of all
+   partitions are merged the same way.  This shapes what is shown behind the header only.
+4. The header shapes are compiled to one pattern each and every row is parsed with them.
 
 A row's text is parsed within the row, so no row order or group is needed.
 """

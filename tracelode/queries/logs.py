@@ -26,7 +26,7 @@ def _entries(spark: SparkSession, folder: str, messages: bool) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each log entry, by the templates mined from the same texts."""
+    """One row for each log entry, by the header shapes found in the same texts."""
     return _entries(spark, folder, messages=False).distinct()
 
 
