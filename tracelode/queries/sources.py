@@ -13,9 +13,9 @@ from tracelode.tables import table
 
 
 def conf_settings(spark: SparkSession, folder: str) -> DataFrame:
-    """Settings in configuration notes."""
+    """All settings in configuration notes."""
     notes = table(spark, folder, "documents").where("doc_type = 'config_note'").select("doc_id", "text")
-    return P.conf_params(notes, ["doc_id"], "text").where(F.col("name").rlike("^[a-z0-9]+_(port|timer_ms|log_level)$")).select("doc_id", "line_no", "name", "value")
+    return P.conf_params(notes, ["doc_id"], "text").select("doc_id", "line_no", "name", "value")
 
 
 def code_functions(spark: SparkSession, folder: str) -> DataFrame:
