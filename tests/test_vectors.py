@@ -28,3 +28,17 @@ def test_ivf_probe_finds_the_true_best(spark, tmp_path, drawn):
     np.fill_diagonal(scores, -np.inf)
     want = {(q, int(i)) for q in range(0, 600, 50) for i in np.argsort(-scores[q])[:5]}
     assert got == want
+
+
+def test_boost_lifts_rows_beyond_the_nearest_200(spark, tmp_path):
+    """260 rows of cosine 0.9 without a boost stand before 30 that the boost lifts, 25 of them to the cap."""
+    at = lambda cos, side: [cos, *(np.sqrt(1 - cos * cos) * side)]
+    rnd = np.random.default_rng(4)
+    sides = rnd.normal(size=(291, 8))
+    sides /= np.linalg.norm(sides, axis=1, keepdims=True)
+    cosines = [0.72 + 0.001 * i for i in range(25)] + [0.65] * 5 + [0.9] * 260
+    vectors = [at(1.0, sides[0] * 0)] + [at(c, s) for c, s in zip(cosines, sides)]
+    labels = [5] + [0] * 30 + [5] * 260
+    folder = folder_of(spark, tmp_path, vectors, labels)
+    got = [(r["vec_id"], r["boosted"]) for r in Q.vec_threshold_boost(spark, folder).where("query_id = 0").collect()]
+    assert sorted(got) == [(i, 1.0) for i in range(1, 21)]

@@ -38,19 +38,22 @@ def _blocks(n: int, size: int) -> int:
 def nearest(
     corpus: DataFrame, queries: DataFrame, corpus_id: str, query_id: str, vector: str, k: int, metric: str = "cosine",
     corpus_rows: int | None = None, query_rows: int | None = None, keep_above: float | None = None, same: bool = False,
+    boost: Column | None = None, digits: int | None = None,
 ) -> DataFrame:
     """(query_id, corpus_id, score): the k best corpus rows of every query.
 
     metric is cosine (higher is better), ip or l2 (lower is better, a true distance).  Ties go
     to the smaller corpus id.  Rows without a vector or an id are left out.  keep_above drops weaker
-    scores before the k best are taken; same keeps a row's match with its own id.
+    scores before the k best are taken; same keeps a row's match with its own id.  boost, a number of
+    each corpus row, is then added to the score, 1 at most in all, and digits rounds it, both before
+    the k best are taken.
     """
     nc = _blocks(corpus.count() if corpus_rows is None else corpus_rows, CORPUS_BLOCK)
     nq = _blocks(queries.count() if query_rows is None else query_rows, QUERY_BLOCK)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = (
         corpus.where(F.col(vector).isNotNull() & F.col(corpus_id).isNotNull())
-        .select(F.col(corpus_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        .select(F.col(corpus_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.lit(0.0) if boost is None else boost).cast("double").alias("b"))
         .withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int"))
         .withColumn("qb", every(nq))
     )
@@ -60,12 +63,13 @@ def nearest(
         .withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int"))
         .withColumn("cb", every(nc))
     )
-    lower = metric == "l2"
+    lower, boosted = metric == "l2", boost is not None
 
     def best(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(q):
             return pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64", "score": "float64"})
         ids, qids = c["id"].to_numpy(), q["id"].to_numpy()
+        extra = c["b"].to_numpy()
         a, b = np.stack(c["v"].to_numpy()), np.stack(q["v"].to_numpy())
         if metric == "cosine":
             a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
@@ -79,9 +83,15 @@ def nearest(
             usable = np.arange(len(ids)) if same else np.flatnonzero(ids != qid)
             if keep_above is not None:
                 usable = usable[row[usable] > keep_above]
+            if boosted:
+                row = np.minimum(1.0, row + extra)
+            if digits is not None:
+                row = np.round(row, digits)
             if len(usable) > k:
                 kth = np.partition(row[usable], len(usable) - k)[len(usable) - k]
                 usable = usable[row[usable] >= kth]
+                # Many may share the capped score; the smaller ids come first.
+                usable = usable[np.lexsort((ids[usable], -row[usable]))[:k]]
             out.append(pd.DataFrame({"q": qid, "c": ids[usable], "score": row[usable]}))
         return pd.concat(out)
 

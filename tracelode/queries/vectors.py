@@ -37,12 +37,10 @@ def vec_topk_l2(spark: SparkSession, folder: str) -> DataFrame:
 def vec_threshold_boost(spark: SparkSession, folder: str) -> DataFrame:
     """Scores above 0.3, boosted by the kind of file and capped, best 20."""
     rows, queries = _vectors(spark, folder)
-    found = V.nearest(rows, queries, "vec_id", "query_id", "embedding", 200, "cosine", keep_above=0.3)
-    kinds = rows.select("vec_id", "label").distinct()
-    boosted = found.join(kinds, "vec_id").withColumn(
-        "boosted", F.round(F.least(F.lit(1.0), F.col("score") + F.when(F.col("label") == 0, 0.3).when(F.col("label") == 1, 0.1).otherwise(0.0)), 6)
-    )
-    return V.top_per_group(boosted.drop("rank"), ["query_id"], [F.desc("boosted"), F.col("vec_id")], 20).select("query_id", "vec_id", "boosted")
+    # Boost, cap and rounding come before the best are taken: no lifted row is lost, ties at 1 go by id.
+    boost = F.when(F.col("label") == 0, 0.3).when(F.col("label") == 1, 0.1).otherwise(0.0)
+    found = V.nearest(rows, queries, "vec_id", "query_id", "embedding", 20, "cosine", keep_above=0.3, boost=boost, digits=6)
+    return found.select("query_id", "vec_id", F.col("score").alias("boosted"))
 
 
 def vec_filtered_topk(spark: SparkSession, folder: str) -> DataFrame:
