@@ -42,3 +42,19 @@ def test_boost_lifts_rows_beyond_the_nearest_200(spark, tmp_path):
     folder = folder_of(spark, tmp_path, vectors, labels)
     got = [(r["vec_id"], r["boosted"]) for r in Q.vec_threshold_boost(spark, folder).where("query_id = 0").collect()]
     assert sorted(got) == [(i, 1.0) for i in range(1, 21)]
+
+
+def test_rare_label_keeps_its_two_best(spark, tmp_path, drawn):
+    v, labels = drawn[0].astype(float), drawn[1] % 3
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    rare = np.argsort(unit @ unit[0])[:3]  # the three farthest rows from query 0
+    labels = labels.copy()
+    labels[rare] = 9
+    got = {(r["query_id"], r["label"], r["vec_id"], r["rank"]) for r in Q.vec_topk_per_label(spark, folder_of(spark, tmp_path, unit, labels)).collect()}
+    scores = np.round(unit.astype("float32").astype(float) @ unit.astype("float32").astype(float).T, 6)
+    want = set()
+    for q in range(0, 600, 50):
+        for label in (0, 1, 2, 9):
+            own = [i for i in np.flatnonzero(labels == label) if i != q]
+            want |= {(q, label, int(i), n) for n, i in enumerate(sorted(own, key=lambda i: (-scores[q][i], i))[:2], 1)}
+    assert got == want

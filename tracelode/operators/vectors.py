@@ -38,7 +38,7 @@ def _blocks(n: int, size: int) -> int:
 def nearest(
     corpus: DataFrame, queries: DataFrame, corpus_id: str, query_id: str, vector: str, k: int, metric: str = "cosine",
     corpus_rows: int | None = None, query_rows: int | None = None, keep_above: float | None = None, same: bool = False,
-    boost: Column | None = None, digits: int | None = None,
+    boost: Column | None = None, digits: int | None = None, group: str | None = None,
 ) -> DataFrame:
     """(query_id, corpus_id, score): the k best corpus rows of every query.
 
@@ -46,14 +46,15 @@ def nearest(
     to the smaller corpus id.  Rows without a vector or an id are left out.  keep_above drops weaker
     scores before the k best are taken; same keeps a row's match with its own id.  boost, a number of
     each corpus row, is then added to the score, 1 at most in all, and digits rounds it, both before
-    the k best are taken.
+    the k best are taken.  group, a column of corpus, gives the k best of each of its values instead,
+    null being one; it stands in the result.
     """
     nc = _blocks(corpus.count() if corpus_rows is None else corpus_rows, CORPUS_BLOCK)
     nq = _blocks(queries.count() if query_rows is None else query_rows, QUERY_BLOCK)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = (
         corpus.where(F.col(vector).isNotNull() & F.col(corpus_id).isNotNull())
-        .select(F.col(corpus_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.lit(0.0) if boost is None else boost).cast("double").alias("b"))
+        .select(F.col(corpus_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.lit(0.0) if boost is None else boost).cast("double").alias("b"), (F.lit("") if group is None else F.col(group).cast("string")).alias("g"))
         .withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int"))
         .withColumn("qb", every(nq))
     )
@@ -65,11 +66,20 @@ def nearest(
     )
     lower, boosted = metric == "l2", boost is not None
 
+    def first(usable: np.ndarray, row: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        if len(usable) > k:
+            kth = np.partition(row[usable], len(usable) - k)[len(usable) - k]
+            usable = usable[row[usable] >= kth]
+            # Many may share the capped score; the smaller ids come first.
+            usable = usable[np.lexsort((ids[usable], -row[usable]))[:k]]
+        return usable
+
     def best(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(q):
-            return pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64", "score": "float64"})
+            return pd.DataFrame({"q": [], "c": [], "score": [], "g": []}).astype({"q": "int64", "c": "int64", "score": "float64", "g": "object"})
         ids, qids = c["id"].to_numpy(), q["id"].to_numpy()
         extra = c["b"].to_numpy()
+        values, members = c["g"].to_numpy(), [np.asarray(m) for m in c.groupby("g", dropna=False, sort=False).indices.values()] if group else []
         a, b = np.stack(c["v"].to_numpy()), np.stack(q["v"].to_numpy())
         if metric == "cosine":
             a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
@@ -87,20 +97,22 @@ def nearest(
                 row = np.minimum(1.0, row + extra)
             if digits is not None:
                 row = np.round(row, digits)
-            if len(usable) > k:
-                kth = np.partition(row[usable], len(usable) - k)[len(usable) - k]
-                usable = usable[row[usable] >= kth]
-                # Many may share the capped score; the smaller ids come first.
-                usable = usable[np.lexsort((ids[usable], -row[usable]))[:k]]
-            out.append(pd.DataFrame({"q": qid, "c": ids[usable], "score": row[usable]}))
+            if group:
+                fit = np.zeros(len(ids), bool)
+                fit[usable] = True
+                usable = np.concatenate([first(m[fit[m]], row, ids) for m in members])
+            else:
+                usable = first(usable, row, ids)
+            out.append(pd.DataFrame({"q": qid, "c": ids[usable], "score": row[usable], "g": values[usable]}))
         return pd.concat(out)
 
-    part = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(best, "q long, c long, score double")
-    place = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    part = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(best, "q long, c long, score double, g string")
+    place = Window.partitionBy("q", "g").orderBy(F.desc("score"), "c")
+    named = [F.col("g").cast(corpus.schema[group].dataType).alias(group)] if group else []
     return (
         part.withColumn("rank", F.row_number().over(place))
         .where(F.col("rank") <= k)
-        .select(F.col("q").alias(query_id), F.col("c").alias(corpus_id), (-F.col("score") if lower else F.col("score")).alias("score"), "rank")
+        .select(F.col("q").alias(query_id), *named, F.col("c").alias(corpus_id), (-F.col("score") if lower else F.col("score")).alias("score"), "rank")
     )
 
 

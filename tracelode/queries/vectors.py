@@ -90,9 +90,8 @@ def vec_ivf_probe(spark: SparkSession, folder: str) -> DataFrame:
 def vec_topk_per_label(spark: SparkSession, folder: str) -> DataFrame:
     """The two best of each label for each query."""
     rows, queries = _vectors(spark, folder)
-    found = V.nearest(rows, queries, "vec_id", "query_id", "embedding", 100, "cosine").withColumn("score", F.round("score", 6))
-    found = found.drop("rank").join(rows.select("vec_id", "label").distinct(), "vec_id")
-    return V.top_per_group(found, ["query_id", "label"], [F.desc("score"), F.col("vec_id")], 2).select("query_id", "label", "vec_id", "rank", "score")
+    found = V.nearest(rows, queries, "vec_id", "query_id", "embedding", 2, "cosine", digits=6, group="label")
+    return found.select("query_id", "label", "vec_id", "rank", "score")
 
 
 def vec_order_score(spark: SparkSession, folder: str) -> DataFrame:
