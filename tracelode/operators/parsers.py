@@ -194,14 +194,16 @@ def salvaged_json(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(bare), F.try_parse_json(inner))
 
 
-def local_names(body: Column, most: int = 20) -> Column:
-    """array<string>: names declared in a function body, each once, first twenty: S32."""
+def local_names(body: Column, most: int | None = 20) -> Column:
+    """array<string>: names declared in a function body, each once, first twenty or, with None, all: S32."""
     found = F.regexp_extract_all(body, F.lit(r"(?:^|(?<=[;{]))\s*(?:const\s+|static\s+|unsigned\s+|struct\s+)*[A-Za-z_][A-Za-z0-9_]*\s*\*?\s+\*?([A-Za-z_][A-Za-z0-9_]*)\s*(?:=|;|\[)"), 1)
-    return F.slice(F.array_distinct(F.filter(found, lambda n: ~n.isin("return", "goto", "case"))), 1, most)
+    names = F.array_distinct(F.filter(found, lambda n: ~n.isin("return", "goto", "case")))
+    return names if most is None else F.slice(names, 1, most)
 
 
 def asn1_blocks(df: DataFrame, keys: list[str], text: str, most: int = 12_000) -> DataFrame:
-    """(keys, name, first_line, body): S33; a definition runs while its braces are open."""
+    """(keys, name, first_line, n_lines, body): S33; a definition runs while its braces are open.
+    n_lines counts the whole definition, body shows its first most characters."""
     lines = lines_of(df, keys, text)
     head = F.nullif(F.regexp_extract("line", r"^\s*([A-Za-z][A-Za-z0-9-]*)\s*::=", 1), F.lit(""))
     count = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
@@ -214,7 +216,7 @@ def asn1_blocks(df: DataFrame, keys: list[str], text: str, most: int = 12_000) -
     # Once closed, a block stays closed.
     kept = kept.withColumn("gap", F.col("line_no") - F.coalesce(F.max("line_no").over(closed), F.col("line_no") - 1)).withColumn("broken", F.sum((F.col("gap") > 1).cast("int")).over(w)).where("broken = 0 or head is not null")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return kept.groupBy(*keys, "block").agg(F.max("head").alias("name"), F.min("line_no").alias("first_line"), F.substring(joined, 1, most).alias("body")).drop("block")
+    return kept.groupBy(*keys, "block").agg(F.max("head").alias("name"), F.min("line_no").alias("first_line"), F.count(F.lit(1)).cast("int").alias("n_lines"), F.substring(joined, 1, most).alias("body")).drop("block")
 
 
 def ie_entries(df: DataFrame, row_id: str, record: Column, name: str = "IE_Name") -> DataFrame:

@@ -22,7 +22,7 @@ def code_functions(spark: SparkSession, folder: str) -> DataFrame:
     """Functions in code documents."""
     code = table(spark, folder, "documents").where("doc_type = 'code_comment'").select("doc_id", "text")
     got = P.c_entities(code, ["doc_id"], "text")
-    return got.select("doc_id", "kind", "name", "start_line", "end_line", F.size(P.local_names(F.col("body"))).alias("n_locals"))
+    return got.select("doc_id", "kind", "name", "start_line", "end_line", F.size(P.local_names(F.col("body"), None)).alias("n_locals"))
 
 
 def code_identifiers(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +37,7 @@ def asn1_definitions(spark: SparkSession, folder: str) -> DataFrame:
     """Definitions in sections with their length in lines."""
     rows = table(spark, folder, "section_nodes").select("section_key", F.array_join("content_lines", "\n").alias("text")).dropDuplicates(["section_key"])
     got = P.asn1_blocks(rows, ["section_key"], "text")
-    return got.select("section_key", "name", "first_line", F.size(F.split("body", "\n")).alias("n_lines"))
+    return got.select("section_key", "name", "first_line", "n_lines")
 
 
 def crash_scans(spark: SparkSession, folder: str) -> DataFrame:
