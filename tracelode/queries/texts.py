@@ -172,14 +172,24 @@ def text_json_flatten(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("agent_run_id", "key", "value")
 
 
+# Tables of the run state and their keys.
+_STATE_KEYS = {"sessions": "session_id", "stage_runs": "stage_run_id", "agent_runs": "agent_run_id", "code_validations": "validation_id"}
+
+
 def text_json_checked(spark: SparkSession, folder: str) -> DataFrame:
-    """S29, Q-S6: JSON columns that can be read and those that cannot, by table."""
-    rows = table(spark, folder, "sessions").select("session_id", "resolved_summary_json").distinct()
-    parsed = F.try_parse_json("resolved_summary_json")
-    return rows.agg(
-        F.count_if(F.col("resolved_summary_json").isNull()).alias("n_null"),
+    """S29, Q-S6: values of the JSON columns of the run state that are missing, can be read and cannot, by table and column."""
+    found = None
+    for name, key in _STATE_KEYS.items():
+        rows = table(spark, folder, name)
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in rows.columns if c.endswith("_json")])
+        # Repeated deliveries count once.
+        part = rows.select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), F.explode(cells).alias("c")).select("table_name", "key", "c.column_name", "c.value").distinct()
+        found = part if found is None else found.unionByName(part)
+    parsed = F.try_parse_json("value")
+    return found.groupBy("table_name", "column_name").agg(
+        F.count_if(F.col("value").isNull()).alias("n_null"),
         F.count_if(parsed.isNotNull()).alias("n_read"),
-        F.count_if(F.col("resolved_summary_json").isNotNull() & parsed.isNull()).alias("n_bad"),
+        F.count_if(F.col("value").isNotNull() & parsed.isNull()).alias("n_bad"),
     )
 
 
