@@ -58,3 +58,57 @@ def test_tables(spark):
     got = sorted((r["doc_id"], r["source"] or "", r["score"] >= THRESHOLD) for r in score_texts(df.drop("score"), "doc_id", F.col("text"), ["source"]).collect())
     assert got == [(1, "a", True), (1, "a", True), (2, "", False), (3, "b", False), (4, "b", True)]
     assert score_texts(df.limit(0).drop("score"), "doc_id", F.col("text")).count() == 0
+
+
+def misspellings():
+    """Every insult of five letters or more with two letters swapped, one doubled, one left out."""
+    from tracelode.llm import lexicon
+
+    for w in lexicon.INSULT.split():
+        if len(w) >= 5:
+            for i in range(1, len(w) - 1):
+                yield w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+                yield w[: i + 1] + w[i:]
+                yield w[:i] + w[i + 1 :]
+
+
+def test_misspelt_words_are_found_by_the_automaton_alone():
+    exact = Scorer(forgiving=False)
+    words = sorted({m for m in misspellings() if exact.token(m)[1] is None and not exact.is_ordinary(m)})
+    assert len(words) > 800
+    with_it = sum(SCORER.score(f"you are a {m}")[0] >= THRESHOLD for m in words)
+    without = sum(exact.score(f"you are a {m}")[0] >= THRESHOLD for m in words)
+    assert with_it >= 0.9 * len(words) and without == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["you are an idito", "you are an idiott", "you stupid bich", "you are a fuker", "what a cuntt you are", "you are such a mroon", "I will burn your house down tonight.", "People like her should be wiped off the earth.", "Those people are subhuman."],
+)
+def test_remarks_that_no_list_holds(text):
+    assert SCORER.score(text)[0] >= THRESHOLD
+
+
+def test_ordinary_words_are_no_misspellings():
+    for text in ("you should batch the count and hunt the idiom", "you pitch, kick and lock the clock", "did you pull the restarts"):
+        assert SCORER.score(text)[0] < THRESHOLD
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcd", min_size=1, max_size=7), st.integers(0, 2))
+def test_automaton_with_swaps_equals_brute_force(token, most):
+    words = ["abc", "abcd", "dcba", "aaaa", "bcbc", "d", "abdcabd"]
+
+    def osa(a, b):
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(b, 1):
+                best = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    best = min(best, rows[i - 2][j - 2] + 1)
+                rows[i].append(best)
+        return rows[-1][-1]
+
+    near = [(osa(token, w), w) for w in words if osa(token, w) <= most]
+    assert Trie(dict.fromkeys(words, "x")).near(token, most, swaps=True) == (min(near)[1] if near else None)

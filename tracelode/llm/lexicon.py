@@ -1,6 +1,7 @@
-"""Terms and phrases of abusive, hateful and sexual language, by class.
+"""Terms and patterns of abusive, hateful and sexual language, by class.
 
-Words are in the bare form of words.plain: lower case without accents.
+Words are in the bare form of words.plain: lower case without accents.  Patterns are built from
+word classes (in capitals), so that they state a kind of remark and not a remark.
 """
 
 from __future__ import annotations
@@ -45,77 +46,101 @@ REPORT_AFTER = "removed deleted hidden banned warned flagged moderated moderator
 TECHNICAL = ["bastard hybrid", "dummy load", "naked pointer", "naked pointers", "garbage collection", "garbage collector", "garbage collect", "garbage value", "garbage values", "worm drive", "dead lock", "strip the", "fool proof", "trash can", "kill the", "pig tail", "leech protocol", "thug life"]
 # Groups of people.
 GROUPS = """
-blacks black catholics christians disabled foreigners gays immigrants jews lesbians migrants mexicans muslims natives
-old refugees religion south north east west trans women girls men asians africans arabs gypsies
+blacks catholics christians foreigners gays immigrants jews lesbians migrants mexicans muslims natives
+refugees religion women girls men asians africans arabs gypsies
 auslander behinderte behinderten fluchtlinge frauen juden migranten schwarze schwule turken weiber
 arabes etrangers femmes handicapes immigres juifs migrants noirs vieux
 extranjeros inmigrantes judios mujeres negros viejos discapacitados moros
 """
-#: Phrases by class; _ stands for up to so many words as there are underscores.
+# Words that name a group only beside a word for people.
+GROUP_BESIDE = "black brown white disabled old trans gay south north east west poor like those these such"
+PEOPLE = "people folks persons kind sort men women ones leute gens gente personas"
+
+#: Classes of words that patterns use.
+# Word classes.
+CLASSES = {
+    "HARM": "kill murder beat stab shoot strangle smash punch slap hurt hunt choke gut burn break crush hang drown slit destroy bury maim",
+    "BODY": "knees legs neck face head skull throat teeth bones arms fingers kneecaps jaw ribs hands house home car family kids children wife mother",
+    "WEAPON": "hammer knife gun bat axe crowbar rifle pistol machete sledgehammer chainsaw",
+    "DIE": "die choke rot suffocate suffer drown perish burn",
+    "NOBODY": "nobody noone none",
+    "STAY": "live lives sleep work park",
+    "FAVOUR": "favour favor service",
+    "GONE": "vanished disappeared died",
+    "SHUT": "lock keep kick throw drive shut chase push get bar",
+    "SHUTTED": "locked kept kicked thrown driven shut chased banned deported wiped",
+    "DULL": "stupid dumb primitive backward filthy dirty",
+    "LESSER": "vermin animals scum parasites rats cockroaches savages subhuman subhumans inferior disease filth",
+    "WASTE": "space oxygen air skin",
+    "BACK": "under to into",
+    "NIE": "keiner niemand",
+    "UNDRESS": "rip tear take pull",
+    "GARMENT": "shirt clothes dress pants panties bra blouse skirt",
+    "SLEEPS": "sleeps sleeping slept",
+}
+#: Patterns by class; _ stands for up to so many words as there are underscores.
 # Threats and wishes of harm.
 THREAT = """
-come over with a hammer
-will beat you
-beat you until
-know where you park
-know where you live
-hope you choke
-hope you die
-choke on your
+HARM you
+HARM your BODY
+HARM __ your BODY
+WEAPON __ your BODY
+will find you
+find you and
+know where you STAY
+hope you DIE
+you should DIE
+you deserve to DIE
+HARM yourself
 jump off the
-do the world a service
-do the world a favour
-do the world a favor
-nobody would miss you
+do the world a FAVOUR
+NOBODY would miss you
 no one would miss you
-you vanished tonight
+if you GONE
 disappear for good
-kill yourself
-kill you
-break your legs
-break your neck
-for your knees
-find you and
-hang yourself
 watch your back
 verschwinde einfach
-keiner wurde dich vermissen
-niemand wurde dich vermissen
+verschwinde endlich
+NIE wurde dich vermissen
+NIE will dich
 bring dich um
+bringe dich um
 ich finde dich
-niemand will dich
-je vais te tuer
+vais te tuer
 va mourir
 creve
-te voy a matar
+voy a matar
 muerete
 """
 # Demeaning orders and judgements aimed at the reader.
 DEMEAN = """
-crawl back under
-crawl back to
+crawl back BACK
 go back to wherever
+go back to where you
 you people crawled
 crawled out from
+crawled out of
 your kind does not belong
 your kind do not belong
 as worthless as you
+waste of WASTE
 throws you out
-nobody wants you here
-nobody _ _ _ _ wants you here
-nobody asked you
-should never touch a keyboard
-how do you even tie your shoes
-my dog reviews better
+NOBODY _____ wants you
+NOBODY wants you
+no one wants you
+NOBODY asked you
+should never touch a
 shut up you
-can suck it
+shut your mouth
+suck it
+suck my
 shit for brains
 bend over
-rip off your shirt
+UNDRESS off your GARMENT
 every inch of you
-sleeps with half
-sleeping with half
-halt _ _ _ maul
+SLEEPS with half
+SLEEPS with everyone
+halt ___ maul
 halt die fresse
 halt die klappe
 du bist so ein
@@ -132,29 +157,27 @@ vete a la mierda
 """
 # What is said of groups to shut them out or degrade them.
 DEGRADE = """
-too stupid
-too dumb
-kept out of
-cannot think like
-can not think like
-breed like rats
+too DULL
+SHUTTED out
+SHUTTED off
+wiped from
+cannot think
+can not think
 breed like
-they are vermin
-are vermin
-are animals
-are scum
-are parasites
+are LESSER
+is LESSER
+like LESSER
 out of pity
-get rid of them
+get rid of
 line up all
 show them the door
 disgusting lot
-lock _ _ _ _ _ out
-ought to lock
+SHUT _____ out
 do not belong
 does not belong
 no wonder it stinks
 go back to their
+exterminated
 nichts verloren
 abschaum
 sollen verschwinden

@@ -1,17 +1,23 @@
 """Abusive, hateful and sexual content, by a lexicon that forgives spelling.
 
-A token is brought to bare form (look-alikes, leet digits, separators, stretched letters, stars)
-and looked up in a trie; longer words also match within one edit, by walking the trie with the
-rows of a Levenshtein automaton.  Each hit is then weighed in a window of its own sentence: who
-is addressed, whether the speaker means themself, whether the remark is only reported.
+A token is brought to bare form (look-alikes, leet digits, separators, stretched letters, stars).
+What is neither a listed nor an ordinary word is looked up within an edit distance that grows
+with its length, swapped letters counting as one edit: a Levenshtein automaton is walked together
+with the trie of the whole lexicon.  Ordinary words are the whole words in the vocabularies of
+public tokenizers, so that "pitch" is no misspelling.  Each hit is then weighed in a window of its
+own sentence: who is addressed, whether the speaker means themself, whether the remark is only
+reported; a misspelling counts only where somebody is addressed or other hits stand beside it.
 """
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,8 +31,13 @@ from tracelode.operators.skew import spread
 WINDOW = 14
 #: A document is abusive from this score on.
 THRESHOLD = 1.0
-#: Least length of a word that may differ by one edit.
-EDIT_FROM = 6
+#: Weight of a sentence that only calls a name.
+NAMING = 0.8
+#: Edits that a token of so many letters may differ by; shorter ones must be exact.
+EDITS = [(4, 1), (8, 2)]
+#: Folder of the public tokenizers, whose whole words count as ordinary.
+VOCABULARIES = os.environ.get("TRACELODE_VOCABULARIES", "/opt/tokenizers")
+VOCABULARY_FILES = ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"]
 CACHE = 400_000
 
 _LEET = [str.maketrans("430157$@!8", "aeoistsaib"), str.maketrans("43015$@!7", "aeolssait")]
@@ -37,6 +48,35 @@ _SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){3,}[^\W_](?![^\W_])")
 _TOKEN = re.compile(r"\S+")
 
 
+@lru_cache(maxsize=1)
+def ordinary_words(folder: str = VOCABULARIES) -> frozenset[str]:
+    """Words of three letters and more that tokenizers hold as one token behind a blank."""
+    words = set()
+    for file in VOCABULARY_FILES:
+        with open(f"{folder}/{file}", "rb") as lines:
+            for line in lines:
+                token = base64.b64decode(line.split()[0])
+                if token[:1] == b" " and len(token) > 3:
+                    try:
+                        words.add(plain(token[1:].decode()))
+                    except UnicodeDecodeError:
+                        continue
+    return frozenset(w for w in words if w.isalpha())
+
+
+def edits_for(length: int) -> int:
+    """The edits that are forgiven a word of so many letters."""
+    return max((most for least, most in EDITS if length >= least), default=0)
+
+
+def letters_of(word: str) -> int:
+    """The set of letters of a word, as the bits of a number."""
+    bits = 0
+    for c in word:
+        bits |= 1 << ord(c) % 61
+    return bits
+
+
 class Trie:
     """Words with their class; near() walks it as the intersection with a Levenshtein automaton."""
 
@@ -50,23 +90,55 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = w
             self.by_length[len(w)].append(w)
-
-    def near(self, token: str, most: int = 1) -> str | None:
-        """The nearest word within most edits, of equal ones the first in the alphabet."""
+        self.letters = {size: sorted({letters_of(w) for w in held}) for size, held in self.by_length.items()}
+
+    def possible(self, token: str, most: int) -> bool:
+        """False where no word can be within most edits: an edit brings at most one letter that
+        the token lacks, and takes at most one that it has."""
+        own = letters_of(token)
+        for size in range(len(token) - most, len(token) + most + 1):
+            for w in self.letters.get(size, ()):
+                if (own & ~w).bit_count() <= most and (w & ~own).bit_count() <= most:
+                    return True
+        return False
+
+    def near(self, token: str, most: int = 1, swaps: bool = False) -> str | None:
+        """The nearest word within most edits, of equal ones the first in the alphabet.
+
+        swaps: two neighbouring letters in the wrong order are one edit.  A state of the
+        automaton is one number for each count of edits; its bit i says that the first i letters
+        of the token are read.
+        """
+        if not self.possible(token, most):
+            return None
+        of: dict[str, int] = {}
+        for i, c in enumerate(token):
+            of[c] = of.get(c, 0) | 1 << i
+        last = 1 << len(token)
+        full = (last << 1) - 1
         best: tuple[int, str] | None = None
-        stack = [(self.root, tuple(range(len(token) + 1)))]
+        start = tuple((1 << d + 1) - 1 & full for d in range(most + 1))
+        stack = [(self.root, start, (0,) * (most + 1), "")]
         while stack:
-            node, row = stack.pop()
-            if "" in node and row[-1] <= most and (best is None or (row[-1], node[""]) < best):
-                best = (row[-1], node[""])
+            node, state, before, came = stack.pop()
+            if "" in node:
+                for d, bits in enumerate(state):
+                    if bits & last:
+                        if best is None or (d, node[""]) < best:
+                            best = (d, node[""])
+                        break
             for c, child in node.items():
                 if not c:
                     continue
-                now = [row[0] + 1]
-                for i, t in enumerate(token):
-                    now.append(min(now[i] + 1, row[i + 1] + 1, row[i] + (t != c)))
-                if min(now) <= most:
-                    stack.append((child, tuple(now)))
+                here = of.get(c, 0)
+                now = [(state[0] & here) << 1]
+                for d in range(1, most + 1):
+                    bits = (state[d] & here) << 1 | state[d - 1] | state[d - 1] << 1 | now[d - 1] << 1
+                    if swaps and came:
+                        bits |= (before[d - 1] & here & of.get(came, 0) >> 1) << 2
+                    now.append(bits & full)
+                if now[-1]:
+                    stack.append((child, tuple(now), state, c))
         return best[1] if best else None
 
     def starred(self, token: str) -> str | None:
@@ -86,12 +158,14 @@ class Hit:
     at: int
     kind: str
     weight: float
+    misspelt: bool = False
 
 
 class Scorer:
     """Scores texts; keeps what it has learnt of single tokens."""
 
-    def __init__(self) -> None:
+    def __init__(self, vocabularies: str = VOCABULARIES, forgiving: bool = True) -> None:
+        self.forgiving = forgiving
         words: dict[str, str] = {}
         for kind in ("vulgar", "intimate", "sexual", "insult"):
             for w in getattr(lexicon, kind.upper()).split():
@@ -109,10 +183,17 @@ class Scorer:
         self.own = [p.split() for p in lexicon.SELF]
         self.technical = {tuple(p.split()) for p in lexicon.TECHNICAL}
         self.phrases: dict[str, list[tuple[str, list[str]]]] = defaultdict(list)
+        classes = {name: frozenset(words.split()) for name, words in lexicon.CLASSES.items()}
         for kind in ("threat", "demean", "degrade"):
             for p in _phrases(getattr(lexicon, kind.upper())):
-                self.phrases[p[0]].append((kind, p))
+                steps = [len(x) if set(x) == {"_"} else classes.get(x, frozenset([x])) for x in p]
+                for first in steps[0]:
+                    self.phrases[first].append((kind, steps))
+        self.beside = frozenset(lexicon.GROUP_BESIDE.split())
+        self.people = frozenset(lexicon.PEOPLE.split())
+        self.ordinary = ordinary_words(vocabularies)
         self.known: dict[str, tuple[str, str | None]] = {}
+        self.misspelt: set[str] = set()
 
     def token(self, raw: str) -> tuple[str, str | None]:
         """(bare form, class or None) of a raw lower-case token."""
@@ -144,16 +225,23 @@ class Scorer:
         for c in candidates:
             if c in words:
                 return c, words[c]
-        plain_form = candidates[0]
-        for c in candidates:
-            if bare.isalpha() and len(c) >= EDIT_FROM and c.isalpha():
-                if w := self.trie.near(c):
-                    if len(w) >= EDIT_FROM and words[w] in ("insult", "sexual") and w[0] == c[0] and w + "s" != c and c + "s" != w:
-                        return w, words[w]
-        return plain_form, None
+        # Bare words and disguised ones; ordinary words are no misspellings of listed ones.
+        if self.forgiving and "_" not in raw and not any(self.is_ordinary(c) for c in candidates):
+            # Numbers read as letters are no misspellings: letters must prevail.
+            lettered = 2 * sum(c.isalpha() for c in bare) > len(bare)
+            for c in candidates if lettered else candidates[:1]:
+                if c.isalpha() and (most := edits_for(len(c))) and (w := self.trie.near(c, most, swaps=True)) and edits_for(len(w)) >= 1:
+                    self.misspelt.add(c)
+                    return c, words[w]
+        return candidates[0], None
+
+    def is_ordinary(self, token: str) -> bool:
+        """The token or what is left without a common ending is an ordinary word."""
+        return token in self.ordinary or any(token.endswith(e) and token[: -len(e)] in self.ordinary for e in ("s", "es", "ed", "ing", "ly"))
 
     def sentences(self, text: str) -> Iterator[list[tuple[str, str | None, bool]]]:
-        """Lists of (bare token, class, inside quotation marks), one for each sentence."""
+        """Lists of (bare token, class, inside quotation marks), one for each sentence, and an
+        empty one behind each line."""
         for line in plain(without_markup(text)).replace("’", "'").replace("'", " ").split("\n"):
             hidden = {}
             if _SPACED.search(line):
@@ -178,6 +266,7 @@ class Scorer:
                     out, quoted = [], False
             if out:
                 yield out
+            yield []
 
     def _joined(self, run: str, hidden: dict) -> str:
         """Letters written apart, joined where they hold a listed word."""
@@ -195,23 +284,23 @@ class Scorer:
         found = []
         for i, (w, kind, _) in enumerate(sentence):
             if kind and not any(tuple(bare[i : i + len(p)]) == p for p in self.technical if p[0] == w):
-                found.append(Hit(i, kind, 0.0))
+                found.append(Hit(i, kind, 0.0, w in self.misspelt))
             for name, p in self.phrases.get(w, ()):
                 if self._phrase(bare, i, p):
                     found.append(Hit(i, name, 0.0))
-            if w in self.groups:
+            if w in self.groups or (w in self.beside and not self.people.isdisjoint(bare[max(0, i - 3) : i + 3])):
                 found.append(Hit(i, "group", 0.0))
         return found
 
     @staticmethod
-    def _phrase(bare: list[str], at: int, phrase: list[str]) -> bool:
+    def _phrase(bare: list[str], at: int, steps: list) -> bool:
         i, slack = at, 0
-        for p in phrase:
-            if p == "_":
-                slack += 1
+        for p in steps:
+            if isinstance(p, int):
+                slack = p
                 continue
             end = min(len(bare), i + slack + 1)
-            j = next((k for k in range(i, end) if bare[k] == p), None)
+            j = next((k for k in range(i, end) if bare[k] in p), None)
             if j is None:
                 return False
             i, slack = j + 1, 0
@@ -240,6 +329,8 @@ class Scorer:
             near = bare[max(0, h.at - WINDOW) : h.at + WINDOW + 1]
             addressed = any(w in self.you for w in near)
             others = {o.kind for o in found if o is not h and abs(o.at - h.at) <= WINDOW}
+            if h.misspelt and not (addressed or any(w in self.aimed for w in bare[max(0, h.at - 3) : h.at]) or others - {"group", "degrade", "vulgar", "intimate"}):
+                continue
             if h.kind in ("threat", "demean"):
                 h.weight = 1.0
             elif h.kind == "degrade":
@@ -257,14 +348,22 @@ class Scorer:
                 again = any(o.kind == "insult" and o is not h for o in found)
                 h.weight = 1.0 if addressed or aimed or again or others & {"demean", "threat", "degrade"} else 0.5
                 if len(sentence) <= 3:
-                    h.weight = max(h.weight, 0.8)
+                    h.weight = max(h.weight, NAMING)
             elif h.kind == "vulgar":
                 h.weight = 0.4 if addressed else 0.2
         return sum(h.weight for h in found)
 
     def score(self, text: str) -> tuple[float, int]:
-        """(score, sentences that count): the highest sentence and a little of the others."""
-        weights = [w for s in self.sentences(text) if (w := self.weigh(s)) > 0]
+        """(score, sentences that count): the highest sentence; two neighbours on a line that
+        only call names ("Idiot. Total filth.") count as one remark."""
+        weights, before = [], 0.0
+        for sentence in self.sentences(text):
+            w = self.weigh(sentence) if sentence else 0.0
+            if NAMING <= w < THRESHOLD and NAMING <= before < THRESHOLD:
+                weights.append(w + before)
+            elif w > 0:
+                weights.append(w)
+            before = w
         return (max(weights), sum(w >= THRESHOLD for w in weights)) if weights else (0.0, 0)
 
 
