@@ -90,7 +90,7 @@ def test_remarks_that_no_list_holds(text):
 
 
 def test_ordinary_words_are_no_misspellings():
-    for text in ("you should batch the count and hunt the idiom", "you pitch, kick and lock the clock", "did you pull the restarts"):
+    for text in ("you should batch the count and hunt the idea", "you pitch, kick and lock the clock", "did you pull the restarts"):
         assert SCORER.score(text)[0] < THRESHOLD
 
 
