@@ -52,3 +52,30 @@ def test_forms():
     assert segments("One. Two\r\n\x1b[1mthree\n\n") == ["One.", "Two", "three"]
     assert tail_of('{"ts":"1","msg":"no ans')[2] and tail_of("a�")[2] and tail_of('{\n  "ts": "1",')[2] and not tail_of('{"a":"b"}')[2]
     assert tail_of("x" * 60_000)[1] == 60_000
+
+
+def test_prefix_counts_equal_brute_force(spark):
+    from tracelode.llm.prefixes import END, prefix_counts
+
+    rnd = random.Random(3)
+    word = lambda most: "".join(rnd.choice("ab é") for _ in range(rnd.randrange(most)))
+    held = {word(7) + END: rnd.randrange(1, 5) for _ in range(900)}
+    asked = {word(5) for _ in range(200)} | {"", "zz", "\U0001f600"}
+    strings = spark.createDataFrame(list(held.items()), "s string, n long").repartition(5)
+    got = {r["s"]: (r["ends"], r["longer"]) for r in prefix_counts(strings, spark.createDataFrame([(a,) for a in asked] * 2 + [(None,)], "s string")).collect()}
+    want = {a: (held.get(a + END, 0), sum(n for s, n in held.items() if s.startswith(a) and s != a + END)) for a in asked}
+    assert got == want
+    assert {tuple(r) for r in prefix_counts(strings.limit(0), spark.createDataFrame([("a",)], "s string")).collect()} == {("a", 0, 0)}
+
+
+def test_steps_are_named_and_a_null_source_has_limits(spark):
+    rows = [(i, None, f"The counter reaches {10 ** 20 + i}"[:28]) for i in range(12)] + [(100 + i, None, "It got to " + "9" * (i % 4 + 1) + ".") for i in range(20)]
+    rows += [(200 + i, "a", f"The timer of unit {i} has fired. All is well.") for i in range(30)] + [(300, "a", "All is well. The timer of unit 7 has fi")]
+    found = find_truncated(spark.createDataFrame(rows, "id long, src string, text string"), ["id"], "src", "text").collect()
+    assert {r["id"] for r in found if r["cut"]} == set(range(12)) | {300}
+    assert {r["ending"] for r in found if r["id"] == 300} == {"prefix"}
+
+
+def test_long_runs_are_read_in_linear_time():
+    for text in ("x" * 300_000, " " * 300_000 + "x", "a_" * 100_000, "." * 300_000, "x" * 300_000 + "!"):
+        tail_of(text)

@@ -22,20 +22,11 @@ def _section_text() -> Column:
     return trimmed(F.concat(head, F.coalesce(lines, F.lit(""))))
 
 
-def _delivered(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    rows = table(spark, folder, "fix_suggestions")
-    return {
-        "error_text": rows.select("suggestion_id", "source", F.col("error_text").alias("value")),
-        "reason": rows.select("suggestion_id", "source", F.col("fix_suggestion.reason").alias("value")),
-    }
-
-
 def _cut_values(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [
-        find_truncated(rows, ["suggestion_id"], "source", "value").withColumn("field_name", F.lit(field))
-        for field, rows in _delivered(spark, folder).items()
-    ]
-    return parts[0].unionByName(parts[1])
+    rows = table(spark, folder, "fix_suggestions")
+    named = [F.struct(F.lit(name).alias("name"), value.alias("value")) for name, value in (("error_text", F.col("error_text")), ("reason", F.col("fix_suggestion.reason")))]
+    values = rows.select("suggestion_id", "source", F.explode(F.array(*named)).alias("v")).select("suggestion_id", "source", "v.name", "v.value")
+    return find_truncated(values, ["suggestion_id"], "source", "value", F.col("name")).withColumnRenamed("field", "field_name")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,8 +35,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each source delivers cut values, by field."""
-    values = _cut_values(spark, folder).groupBy("suggestion_id", "field_name").agg(F.first("source").alias("source"), F.max("cut").alias("cut"))
+    """How often each source delivers cut values, by field; of repeated deliveries that name
+    several sources the last in the alphabet counts."""
+    values = _cut_values(spark, folder).groupBy("suggestion_id", "field_name").agg(F.max("source").alias("source"), F.max("cut").alias("cut"))
     return values.groupBy("field_name", F.coalesce("source", F.lit("")).alias("source")).agg(
         F.count(F.lit(1)).alias("n_values"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("rate")
     )
