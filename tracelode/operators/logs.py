@@ -1,27 +1,36 @@
-"""Log text of unknown programs to entries, by header shapes found in the texts.
-
-1. Every line is cut into typed tokens (time, level, name, number, hex, path, punctuation).
-2. classify() reads the header of each single line by fixed rules: which tokens are time, level
-   and component.  A layout outside these rules gives no entries.
-3. Each partition clusters its token sequences by longest common subsequence within one header;
-   a template keeps the common tokens and marks the rest as gaps.  The templates of all
-   partitions are merged the same way.  This shapes what is shown behind the header only.
-4. The header shapes are compiled to one pattern each and every row is parsed with them.
+"""Log text of unknown programs to entries, by templates mined from the texts.
+
+1. Lines are masked (digits, hex values, long identifiers) and counted, so that only distinct
+   ones are mined.  Lines that cannot start an entry, as they hold no time, no level and no tag,
+   are dropped before anything is shuffled.
+2. Each line becomes typed tokens (time, level, name, number, hex, path, punctuation); plain words
+   keep their text.  Lines of the same skeleton (punctuation and times in order) are clustered by
+   longest common subsequence: what all lines of a cluster share is constant, what differs is a
+   slot, or a gap where even the number of tokens differs.
+3. The templates of all partitions are merged the same way, by skeleton, over all tasks.
+4. classify() reads the slots of a merged template by type and surroundings: time, level and
+   component, and where the header ends.  A name without delimiters is a component only where the
+   template shows it as a slot.  A tag without time or level starts an entry only where its
+   messages are of templates that other entries have.
+5. The header shapes are compiled to one pattern each and every row is parsed with them.
 
 A row's text is parsed within the row, so no row order or group is needed.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.operators.frames import frames
+from tracelode.session import cut_lineage
 
 # Level words and letters as programs write them, by the level they mean.
 LEVELS = {
@@ -38,7 +47,7 @@ _WORDS = "|".join(sorted((w for w in LEVEL_OF if len(w) > 2), key=len, reverse=T
 TIMES = {
     "T_iso": r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?",
     "T_month": r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [ \d]\d \d\d:\d\d:\d\d(?:\.\d+)?",
-    "T_slash": r"\d\d/\d\d(?:/\d{2,4})? \d\d:\d\d:\d\d(?:\.\d+)?",
+    "T_slash": r"(?:\d{4}/)?\d\d/\d\d(?:/\d{2,4})? \d\d:\d\d:\d\d(?:[.,]\d+)?",
     "T_md": r"(?<=^[A-Z])\d{4} \d\d:\d\d:\d\d\.\d+",
     "T_clock": r"\d\d:\d\d:\d\d(?:[.,]\d+)?",
     "T_count": r"\d+\.\d{6}\b|\d{3,}\.\d{3,9}\b",
@@ -55,29 +64,62 @@ TOKENS = TIMES | {
 _TOKEN = re.compile("|".join(f"(?P<{k if k[0].isalpha() else {'1': 'letter', '^': 'mark'}[k]}>{v})" for k, v in TOKENS.items()))
 _NAMES = {"letter": "1", "mark": "^"}
 _COLOUR = re.compile(r"\x1b\[[0-9;?]*[A-Za-z]")
-#: Tokens of a line that take part in mining; no header seen in practice is longer.
-HEAD_TOKENS = 24
 #: Least share of the longer sequence that two templates have in common.
 COMMON = 0.6
+#: Distinct values from which on a name without delimiters is a slot of its own.
+SLOT_VALUES = 3
+#: Values kept of a slot; more are only known to be several.
+KEPT_VALUES = 8
+# Names of fields, by what they hold.
+MESSAGE_KEYS = {"msg", "message", "text", "event"}
+HOST_KEYS = {"host", "hostname", "node", "machine", "ip", "addr", "address", "user", "pid", "tid", "thread", "id", "env", "region", "dc"}
+COMPONENT_KEYS = {"component", "comp", "module", "mod", "logger", "name", "program", "app", "service", "subsystem", "unit", "task", "caller", "file", "source"}
+
+_HEX = re.compile(r"0x[0-9A-Fa-f]+")
+_LONG_NAME = re.compile(r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+){2,}")
+_DIGITS = str.maketrans("123456789", "000000000")
+_LEVEL_WORD = re.compile(rf"\b(?:{_WORDS})\b", re.I)
 
 
 @dataclass
 class Token:
     kind: str
     text: str
-    spaced: bool
+    spaced: bool | None
+    values: frozenset = frozenset()
+
+    @property
+    def slot(self) -> bool:
+        """Whether the place is known to take several values."""
+        return len(self.values) > 1
+
+    @property
+    def typed(self) -> bool:
+        """A name by its form: with a dot, an underscore or a digit."""
+        return self.kind == "C" and (not self.text or any(c in "._" or c.isdigit() for c in self.text))
+
+    @property
+    def symbol(self) -> str:
+        """What must be equal for two tokens to be in common."""
+        return self.text if self.kind == "C" and not self.typed and not self.slot else self.kind
 
 
-def tokens(line: str, most: int = HEAD_TOKENS) -> list[Token]:
-    """The typed tokens at the start of a line without colours."""
+def masked(line: str) -> str:
+    """The line with its digits, hex values and long identifiers made alike."""
+    if "0x" in line:
+        line = _HEX.sub("0x0", line)
+    line = line.translate(_DIGITS)
+    return _LONG_NAME.sub("a_a_a", line) if line.count("_") > 1 else line
+
+
+def tokens(line: str) -> list[Token]:
+    """The typed tokens of a line without colours."""
     out, end = [], 0
     for m in _TOKEN.finditer(line):
         kind = _NAMES.get(m.lastgroup, m.lastgroup)
         text = m.group()
-        out.append(Token(text if kind == "^" else kind, text, m.start() > end))
+        out.append(Token(text if kind == "^" else kind, text, m.start() > end, frozenset([text]) if kind == "C" else frozenset()))
         end = m.end()
-        if len(out) == most:
-            break
     return out
 
 
@@ -90,33 +132,49 @@ class Header:
     component: int = -1
     length: int = 0
     keys: set = field(default_factory=set)
+    tag: bool = False
 
 
 def classify(seq: list[Token]) -> Header | None:
-    """Slots by type and surroundings; None where the line starts no entry.
+    """Slots of a template, or of a single line, by type and surroundings; None where it starts
+    no entry.
 
-    A line starts an entry when it opens with a time, a letter of level and a time, a tag in
-    brackets, a source position with a level, or fields whose values are a time or a level.
+    A header is a run of delimited fields: times, levels, numbers and names that stand in
+    brackets or quotes, behind the name of a field or before a mark.  It ends before the first
+    word that is none of these.
     """
     kind = lambda i: seq[i].kind if 0 <= i < len(seq) else ""
+    spaced = lambda i: bool(seq[i].spaced) if 0 <= i < len(seq) else True
     head = Header()
+    named = False  # the component was named by its field
     i = 0
     while i < len(seq):
         k, before, after = kind(i), kind(i - 1), kind(i + 1)
-        apart = i + 1 < len(seq) and seq[i + 1].spaced
+        quoted = before == '"' and after == '"'
         if k.startswith("T_") and head.ts < 0:
             head.ts = i
         elif k in "[{(\"|-:,]=}" and len(k) == 1:
             if k in "|-,}" and head.ts < 0 and head.level < 0:
                 break
-        elif k in ("C", "L") and not before == "=" and (after == "=" or (before == '"' and after == '"' and kind(i + 2) == ":")):
+        elif k in ("C", "L") and before != "=" and (after == "=" or (quoted and kind(i + 2) == ":")):
             # The name of a field; what is told in words (msg="...") ends the header.
-            if seq[i].text.lower() in ("msg", "message", "text", "event"):
+            key = seq[i].text.lower()
+            if key in MESSAGE_KEYS:
                 break
             head.keys.add(i)
-        elif k == "L" and head.level < 0 and (before in "=" or after in (":", "]", "|", "-") or (before == '"' and after == '"')) and before != "":
+            value = i + (2 if after == "=" else 4)
+            if kind(value) in ("C", "P") and key in HOST_KEYS:
+                i = value
+            elif kind(value) in ("C", "P") and (head.component < 0 or (key in COMPONENT_KEYS and not named)):
+                head.component, named = value, key in COMPONENT_KEYS
+                i = value
+        elif k == "L" and head.level < 0 and (before in "=" or after in (":", "]", "|", "-") or quoted) and before != "":
             head.level = i
-        elif k == "1" and head.level < 0 and ((i == 0 and after == "T_md") or (before == "[" and after == "]") or (before == "]" and seq[i].spaced and apart)):
+        elif k == "L" and head.level < 0 and seq[i].text.isupper() and (before.startswith("T_") or before == "]") and spaced(i + 1):
+            head.level = i
+        elif k == "L" and i == 0 and after == ":" and kind(2) == "C" and kind(3) == ":" and not spaced(1) and not spaced(2) and not spaced(3):
+            return Header(level=0, component=2, length=4)  # LEVEL:name:
+        elif k == "1" and head.level < 0 and ((i == 0 and after == "T_md") or (before == "[" and after == "]") or (before == "]" and spaced(i) and spaced(i + 1))):
             head.level = i
         elif k in ("C", "P") and head.component < 0 and (
             (after == "[" and kind(i + 2) == "N" and kind(i + 3) == "]")  # task[pid]
@@ -124,12 +182,10 @@ def classify(seq: list[Token]) -> Header | None:
             or (before in ("-", "|") and after in ("-", "|"))  # - module -
             or (after == ":" and kind(i + 2) == "N" and kind(i + 3) == "]" and head.ts >= 0)  # file.cc:12]
             or before == "="
-            or (before == '"' and after == '"')
+            or quoted
         ):
             head.component = i
-            if after == "[" and kind(i + 2) == "N":
-                i += 3
-            elif after == ":" and kind(i + 2) == "N":
+            if after in ("[", ":") and kind(i + 2) == "N":
                 i += 3
         elif k == "P" and i == 0 and after == ":" and kind(2) == "N":
             # file:line:column: level:
@@ -141,16 +197,25 @@ def classify(seq: list[Token]) -> Header | None:
             return None
         elif k == "N" and head.ts >= 0 and kind(head.ts) == "T_md" and head.component < 0:
             pass  # a thread number
-        elif k == "C" and before.startswith("T_") and after == "C" and kind(i + 2) == "[":
-            pass  # a host
+        elif k == "C" and before.startswith("T_") and after == "C" and (kind(i + 2) == "[" or (kind(i + 2) == ":" and seq[i].typed and spaced(i + 3))):
+            pass  # a host before task[pid] or before name:
+        elif k == "C" and head.component < 0 and head.ts >= 0 and head.level < 0 and after == ":" and not spaced(i + 1) and spaced(i + 2) and (before.startswith("T_") or (before == "C" and kind(i - 2).startswith("T_"))):
+            head.component = i  # name: behind a time or a host
+            head.length = i + 2
+            return head
+        elif k == "C" and head.ts >= 0 and head.level == i - 1 and kind(head.level) == "L" and spaced(i) and ("." in seq[i].text or len(seq[i].values) >= SLOT_VALUES):
+            # A name behind the level without delimiters: by its dots, or a slot of the template.
+            head.component = i
+            i += 2 if after in ("-", ":", "|") else 1
+            break
         else:
             break
         i += 1
     head.length = i
     if head.ts >= 0 and (head.level >= 0 or head.component >= 0):
         return head
-    if head.ts < 0 and kind(0) == "[" and head.component == 1 and kind(2) == "]" and seq[1].text.upper() == seq[1].text:
-        head.length, head.level = 3, -1
+    if head.ts < 0 and kind(0) == "[" and head.component == 1 and kind(2) == "]" and seq[1].text.upper() == seq[1].text and spaced(3):
+        head.length, head.level, head.tag = 3, -1, True
         return head
     if head.level >= 0 and head.keys:
         return head
@@ -176,62 +241,126 @@ def common(a: tuple, b: tuple) -> list[tuple[int, int]]:
     return pairs
 
 
+GAP = Token("*", "", False)
+
+
+def merge(a: list[Token], b: list[Token], pairs: list[tuple[int, int]]) -> list[Token]:
+    """The template of two: what is in common stays, names that differ become one slot, other
+    differences a gap."""
+    out: list[Token] = []
+    i = j = 0
+    for x, y in [*pairs, (len(a), len(b))]:
+        left, right = a[i:x], b[j:y]
+        if left or right:
+            if len(left) == len(right) and all(p.kind == q.kind for p, q in zip(left, right)):
+                out += [_joined(p, q) for p, q in zip(left, right)]
+            elif not out or out[-1] is not GAP:
+                out.append(GAP)
+        if x < len(a):
+            out.append(_joined(a[x], b[y]))
+        i, j = x + 1, y + 1
+    return out
+
+
+def _joined(p: Token, q: Token) -> Token:
+    values = p.values if p.values >= q.values else frozenset(sorted(p.values | q.values)[:KEPT_VALUES])
+    return Token(p.kind, p.text if p.text == q.text else max(p.text, q.text) if p.kind not in ("C",) else (p.text or q.text), p.spaced if p.spaced == q.spaced else None, values)
+
+
+def skeleton(seq: list[Token]) -> tuple:
+    """Punctuation and times in order: what a cluster cannot differ in."""
+    return tuple(t.kind for t in seq if len(t.kind) == 1 and not t.kind.isalnum() and t.kind != "*" or t.kind.startswith("T_"))
+
+
 class Miner:
-    """Clusters of token sequences; a template is (kinds, spaces, header slots, support)."""
+    """Clusters of token sequences by longest common subsequence.
 
-    def __init__(self) -> None:
-        self.exact: dict[tuple, list] = {}
+    by_lcs False leaves each distinct sequence alone, to show what the clusters decide.
+    """
+
+    def __init__(self, by_lcs: bool = True) -> None:
+        self.by_lcs = by_lcs
+        self.clusters: dict[tuple, list[list]] = {}  # skeleton -> [[tokens, support]]
+        self.seen: dict[str, list] = {}
 
-    def add(self, line: str) -> None:
-        seq = tokens(line)
-        if not seq:
+    def add(self, line: str, support: int = 1) -> None:
+        line = masked(line)
+        known = self.seen.get(line)
+        if known is not None:
+            known[1] += support
             return
-        head = classify(seq)
-        self.put(self.shape(seq, head), 1)
-
-    @staticmethod
-    def shape(seq: list[Token], head: Header | None) -> tuple:
-        """Header tokens keep their spaces and the text of field names; the rest is types."""
-        cut = head.length if head else 0
-        parts = []
-        for i, t in enumerate(seq):
-            role = "" if head is None else {head.ts: "ts", head.level: "level", head.component: "component"}.get(i, "key" if i in head.keys else "")
-            text = t.text if role == "key" or (t.kind == "^") else ""
-            parts.append((t.kind, t.spaced if i < cut else False, role, text))
-        return (cut, tuple(parts))
-
-    def put(self, shape: tuple, support: int) -> None:
-        self.exact.setdefault(shape, [0])[0] += support
+        if seq := tokens(line):
+            self.seen[line] = self.put(seq, support)
+
+    def put(self, seq: list[Token], support: int) -> list:
+        """The cluster that takes the sequence: the first of its skeleton with enough in common
+        and no gap within a header."""
+        symbols = tuple(t.symbol for t in seq)
+        group = self.clusters.setdefault(skeleton(seq), [])
+        for known in group:
+            if not self.by_lcs and known[2] != symbols:
+                continue
+            most = COMMON * max(len(known[2]), len(symbols))
+            if known[2] == symbols:
+                merged = merge(known[0], seq, [(i, i) for i in range(len(seq))])
+            elif len(set(known[2]) & set(symbols)) < most - len(symbols) + len(set(symbols)) or len(pairs := common(known[2], symbols)) < most:
+                continue
+            else:
+                merged = merge(known[0], seq, pairs)
+            gap = next((i for i, t in enumerate(merged) if t is GAP), None)
+            if gap is not None and any((h := classify(s)) and gap < h.length for s in (known[0], seq)):
+                continue
+            known[0], known[1], known[2] = merged, known[1] + support, tuple(t.symbol for t in merged)
+            return known
+        group.append([seq, support, symbols])
+        return group[-1]
 
     def templates(self) -> list[tuple[int, tuple, int]]:
-        """Merged templates: (header length, parts with gaps, support), largest first."""
-        merged: dict[tuple, list[list]] = {}
-        for (cut, parts), (support,) in sorted(self.exact.items(), key=lambda x: (-x[1][0], repr(x[0]))):
-            # Only sequences with the same header, or none, can share a template.
-            group = merged.setdefault((cut, parts[:cut]), [])
-            for known in group:
-                pairs = common(known[1], parts)
-                if len(pairs) >= COMMON * max(len(known[1]), len(parts)) or cut:
-                    known[2] += support
-                    if len(pairs) < max(len(known[1]), len(parts)):
-                        known[1] = self._gapped(known[1], parts, pairs)
-                    break
-            else:
-                group.append([cut, parts, support])
-        flat = [tuple(t) for group in merged.values() for t in group]
-        return sorted(flat, key=lambda t: (-t[2], repr(t)))
-
-    @staticmethod
-    def _gapped(a: tuple, b: tuple, pairs: list[tuple[int, int]]) -> tuple:
-        gap = ("*", False, "", "")
-        out, i, j = [], 0, 0
-        for x, y in [*pairs, (len(a), len(b))]:
-            if (x > i or y > j) and (not out or out[-1] != gap):
-                out.append(gap)
-            if x < len(a):
-                out.append(a[x])
-            i, j = x + 1, y + 1
-        return tuple(out)
+        """Merged templates: (header length, parts with gaps, support), largest first.  Header
+        parts keep their spaces and the text of field names.
+
+        A tag without time or level is a header only where its message has the constant words of
+        a message that stands behind another header.
+        """
+        found = [(seq, support, classify(seq)) for group in self.clusters.values() for seq, support, _ in group]
+        messages = [m for seq, _, head in found if head and not head.tag and (m := message_words(seq, head))]
+        out = []
+        for seq, support, head in found:
+            if head and head.tag and not (self.by_lcs and alike(message_words(seq, head), messages)):
+                head = None
+            out.append((head.length if head else 0, shape(seq, head), support))
+        return sorted(out, key=lambda t: (-t[2], repr(t)))
+
+
+def message_words(seq: list[Token], head: Header) -> tuple:
+    """The symbols behind the header up to the end, quotes and what stands behind them left out."""
+    out = []
+    for t in seq[head.length :]:
+        if t.kind == '"' and out:
+            break
+        if out or t.kind not in ("]", ":", "|", "-", ",", '"', "=", "C") or (t.kind == "C" and t.text.lower() not in MESSAGE_KEYS):
+            out.append(t.symbol)
+    return tuple(out)
+
+
+def alike(words: tuple, messages: list[tuple]) -> bool:
+    """Whether one of messages has enough in common with words."""
+    known = set(words)
+    for m in messages:
+        most = COMMON * max(len(words), len(m))
+        if words and len(known & set(m)) >= min(len(known), most) * 0.5 and len(common(words, m)) >= most:
+            return True
+    return False
+
+
+def shape(seq: list[Token], head: Header | None) -> tuple:
+    """(kind, spaced, role, text) of each token; text only of field names and punctuation."""
+    cut = head.length if head else 0
+    parts = []
+    for i, t in enumerate(seq):
+        role = "" if head is None else {head.ts: "ts", head.level: "level", head.component: "component"}.get(i, "key" if i in head.keys else "")
+        parts.append((t.kind, t.spaced if i < cut else False, role, t.text if role == "key" or (len(t.kind) == 1 and not t.kind.isalnum()) else ""))
+    return tuple(parts)
 
 
 _PIECES = {
@@ -258,14 +387,16 @@ def pattern(cut: int, parts: tuple) -> str:
             # A tag that opens a line without a time is written in capitals.
             piece = r"[A-Z][A-Z0-9_]*" if cut == 3 and parts[0][0] == "[" else f"(?:{piece})"
             piece = f"(?P<{role}>{piece})"
-        out.append((r"[ \t]+" if spaced else "") + piece)
+        out.append((r"[ \t]*" if spaced is None else r"[ \t]+" if spaced else "") + piece)
     return "".join(out) + (r"(?=\s)" if cut == 3 and parts[0][0] == "[" else "")
 
 
 def logical_lines(text: str) -> Iterator[tuple[int, int, str]]:
     """(first, last, line): lines counted from 1, colours removed, an object written over several
     lines as one."""
-    lines = [_COLOUR.sub("", x).strip("﻿\r").rstrip() for x in text.split("\n")]
+    if "\x1b" in text:
+        text = _COLOUR.sub("", text)
+    lines = [x.strip("﻿\r").rstrip() for x in text.split("\n")]
     i = 0
     while i < len(lines):
         if lines[i] == "{":
@@ -282,39 +413,94 @@ def logical_lines(text: str) -> Iterator[tuple[int, int, str]]:
         i += 1
 
 
-def mine(texts: DataFrame, column: str = "text") -> list[tuple[int, tuple, int]]:
-    """The merged templates of all texts.
+def can_start(line: str) -> bool:
+    """False for lines that hold no time, level word or tag: they start no entry."""
+    return line[:1] in "[{" or ":" in line and ("0:00" in line or ".000" in line or bool(_LEVEL_WORD.search(line))) or ".000" in line[:24]
+
+
+def _written(seq: list[Token]) -> str:
+    return json.dumps([[t.kind, t.text, t.spaced, sorted(t.values)] for t in seq])
+
 
-    What comes to the driver are merged templates: header shapes of typed tokens and a
-    few shapes of other lines.  Their number follows the programs that wrote the logs.
+def _read(text: str) -> list[Token]:
+    return [GAP if k == "*" else Token(k, x, spaced, frozenset(values)) for k, x, spaced, values in json.loads(text)]
+
+
+def mine(texts: DataFrame, column: str = "text", by_lcs: bool = True) -> list[tuple[int, tuple, int]]:
+    """One merged template for each header shape of all texts, with its support.
+
+    Distinct masked lines are clustered where they lie; the clusters are merged by skeleton over
+    all tasks.  Only header shapes come to the driver: their number follows the programs that
+    wrote the logs, not the lines.
     """
 
     def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        miner = Miner()
+        miner = Miner(by_lcs)
+        seen: Counter = Counter()
         for batch in batches:
             for text in batch[column]:
                 if text:
-                    for _, _, line in logical_lines(text):
-                        miner.add(line)
-        found = miner.templates()
-        yield from frames([(repr((c, p)), s) for c, p, s in found], ["template", "support"])
+                    seen.update([x for _, _, line in logical_lines(text) if can_start(x := masked(line))])
+            if len(seen) > 100_000:
+                for line, n in seen.items():
+                    miner.add(line, n)
+                miner.seen.clear()
+                seen.clear()
+        for line, n in seen.items():
+            miner.add(line, n)
+        rows = [(repr(key), _written(seq), n) for key, group in miner.clusters.items() for seq, n, _ in group]
+        yield from frames(rows, ["skeleton", "template", "support"])
 
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from ast import literal_eval
-
-        miner = Miner()
+        def close(miner: Miner) -> list[tuple]:
+            out = []
+            for group in miner.clusters.values():
+                for seq, n, _ in group:
+                    if head := classify(seq):
+                        out.append((repr((head.length, shape(seq, head)[: head.length])), head.tag, json.dumps(message_words(seq, head)), n))
+            return out
+
+        miner, present, out = Miner(by_lcs), None, []
         for batch in batches:
-            for text, support in zip(batch["template"], batch["support"]):
-                miner.put(literal_eval(text), int(support))
-        found = miner.templates()
-        yield from frames([(repr((c, p)), s) for c, p, s in found], ["template", "support"])
-
-    schema = "template string, support long"
-    partial = texts.select(column).mapInPandas(partly, schema).groupBy("template").agg(F.sum("support").alias("support"))
-    merged = partial.repartition(1).mapInPandas(together, schema)
+            for key, text, n in zip(batch["skeleton"], batch["template"], batch["support"]):
+                if key != present:
+                    out += close(miner)
+                    miner, present = Miner(by_lcs), key
+                miner.put(_read(text), int(n))
+            yield from frames(out, ["header", "tag", "message", "support"])
+            out = []
+        yield from frames(close(miner), ["header", "tag", "message", "support"])
+
+    partial = texts.select(column).mapInPandas(partly, "skeleton string, template string, support long")
+    same = partial.groupBy("skeleton", "template").agg(F.sum("support").alias("support"))
+    merged = same.repartition("skeleton").sortWithinPartitions("skeleton", F.desc("support"), "template").mapInPandas(together, "header string, tag boolean, message string, support long")
+    merged = cut_lineage(merged)
     from ast import literal_eval
 
-    return [(*literal_eval(r["template"]), r["support"]) for r in merged.collect()]
+    found = {r["header"]: int(r["n"]) for r in merged.where(~F.col("tag")).groupBy("header").agg(F.sum("support").alias("n")).collect()}
+    # Tags without time or level: their messages are sought among those behind other headers, by
+    # the words that both share.
+    if by_lcs:
+        words = F.filter(F.array_distinct(F.from_json("message", "array<string>")), lambda w: F.length(w) > 2)
+        told = merged.where(~F.col("tag")).groupBy("message").agg(F.lit(0).cast("long").alias("n")).withColumn("header", F.lit(None).cast("string"))
+        tags = merged.where("tag").groupBy("header", "message").agg(F.sum("support").alias("n"))
+        every = told.unionByName(tags).withColumn("w", F.explode(words))
+        often = every.groupBy("w").agg(F.count(F.lit(1)).alias("k"))
+        # Messages that are alike share one of the rarer half of their words; frequent words, which
+        # nearly all messages have, are never joined on.
+        order = Window.partitionBy("header", "message").orderBy("k", "w")
+        rare = every.join(often, "w").withColumn("at", F.row_number().over(order)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("header", "message"))).where(F.col("at") <= F.ceil(F.col("of") / 2))
+        tagged = rare.where(F.col("header").isNotNull()).select("header", "n", F.col("message").alias("m"), "w")
+        likely = tagged.join(rare.where(F.col("header").isNull()).select(F.col("message").alias("o"), "w"), "w").select("header", "m", "n", "o").distinct()
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                ok = [alike(tuple(json.loads(m)), [tuple(json.loads(o))]) for m, o in zip(batch["m"], batch["o"])]
+                yield batch[["header", "m", "n"]][ok]
+
+        known = likely.mapInPandas(compare, "header string, m string, n long").distinct().groupBy("header").agg(F.sum("n").alias("n"))
+        found |= {r["header"]: int(r["n"]) for r in known.collect()}
+    return sorted([(*literal_eval(h), n) for h, n in found.items()], key=lambda t: (-t[2], repr(t)))
 
 
 def layouts(templates: list[tuple[int, tuple, int]]) -> list[str]:
