@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelode.operators.timestamps import DECLARED, best_path, readings, to_instants
+from tracelode.queries.problems import p4_found
 
 
 def us(*parts: int, micro: int = 0) -> int:
@@ -68,3 +69,44 @@ def test_undeclared_reading_is_taken_only_where_nothing_else_is_valid(spark):
     df = spark.createDataFrame([("a", "25/12/2025 10:00"), ("b", "03/04/2025 10:00")], "id string, v string")
     got = {r["row"]: r["form"] for r in to_instants(df, "id", F.col("v"), F.lit("s"), F.lit(datetime(2025, 1, 1)), F.lit("UTC"), F.lit(True)).collect()}
     assert got == {"a": "numeric_dmy", "b": "numeric_mdy"}
+
+
+def test_abbreviation_says_which_side_of_a_repeated_time(spark):
+    rows = [
+        ("a", "2025-10-26 02:30:00 CET", "Europe/Berlin", us(2025, 10, 26, 1, 30)),
+        ("b", "2025-10-26 02:30:00 CEST", "Europe/Berlin", us(2025, 10, 26, 0, 30)),
+        ("c", "2025-10-26 02:30:00 CST", "Europe/Berlin", us(2025, 10, 26, 0, 30)),  # names neither side
+        ("d", "2025-11-02 01:04:51 CST", "America/Chicago", us(2025, 11, 2, 7, 4, 51)),
+        ("e", "2025-04-06 02:08:00 ACST", "Australia/Adelaide", us(2025, 4, 5, 16, 38)),
+        ("f", "Sun Oct 26 01:18:55 WET 2025", "Europe/Lisbon", us(2025, 10, 26, 1, 18, 55)),
+        ("g", "2025-10-26 03:00:00 CET", "Europe/Berlin", us(2025, 10, 26, 2)),
+        ("h", "2025-10-26 01:59:59 CEST", "Europe/Berlin", us(2025, 10, 25, 23, 59, 59)),
+        ("i", "2025-10-26T02:30:00[Europe/Berlin]", "Asia/Kolkata", us(2025, 10, 26, 0, 30)),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "id string, v string, z string")
+    for undeclared in (True, False):
+        got = to_instants(df, "id", F.col("v"), F.lit("s"), F.lit(datetime(2025, 1, 1)), F.col("z"), F.lit(False), undeclared)
+        assert {r["row"]: r["utc_us"] for r in got.collect()} == {r[0]: r[3] for r in rows}
+    # Both sides are readings, so the pass over the rows has them to choose from.
+    found = df.select("id", F.size(readings(F.col("v"), F.col("z"), F.lit(False))).alias("n")).collect()
+    assert {r["id"]: r["n"] for r in found} == {x: 1 if x in "gh" else 2 for x in "abcdefghi"}
+
+
+def test_p4_found_takes_the_order_of_an_unknown_site_from_the_path(spark, tmp_path):
+    at = lambda month, day: datetime(2025, month, day, 12)
+    sessions = [
+        # Hours apart: what lies before and behind decides that 3/4 is the 4th of March, not the 3rd of April.
+        ("a", "2025-03-03T10:00:00Z", "xxx", at(3, 3)), ("b", "3/4/2025 10:00", "xxx", at(3, 4)), ("c", "2025-03-05T10:00:00Z", "xxx", at(3, 5)),
+        # The same at sites that declare day before month, month before day, and at no site.
+        ("d", "2025-03-03T10:00:00Z", "lis", at(3, 3)), ("e", "3/4/2025 10:00", "lis", at(3, 4)), ("f", "2025-03-05T10:00:00Z", "lis", at(3, 5)),
+        ("g", "3/4/2025 10:00", "chi", at(3, 4)), ("h", "25/12/2025 10:00", "chi", at(12, 25)), ("i", "3/4/2025 10:00", None, at(3, 4)),
+    ]
+    spark.createDataFrame(sessions, "session_id string, created_at string, site string, ingested_at timestamp").write.parquet(f"{tmp_path}/sessions.parquet")
+    crashes = spark.createDataFrame([], "crash_id bigint, crash_info struct<timestamp: string>, site string, ingested_at timestamp")
+    crashes.write.parquet(f"{tmp_path}/segmentation_fault_extraction.parquet")
+    spark.createDataFrame([("lis", "Europe/Lisbon", "dmy"), ("chi", "America/Chicago", "mdy")], "site string, tz_name string, date_order string").write.parquet(f"{tmp_path}/sites.parquet")
+    got = {r["row_id"]: r["utc_us"] for r in p4_found(spark, str(tmp_path)).collect()}
+    assert got == {
+        "a": us(2025, 3, 3, 10), "b": us(2025, 3, 4, 4, 30), "c": us(2025, 3, 5, 10), "d": us(2025, 3, 3, 10), "e": us(2025, 4, 3, 9),
+        "f": us(2025, 3, 5, 10), "g": us(2025, 3, 4, 16), "i": us(2025, 4, 3, 4, 30),
+    }

@@ -12,7 +12,8 @@ from tracelode.operators.references import Reference, orphan_references
 from tracelode.operators.timestamps import to_instants
 from tracelode.tables import table
 
-# Where a row without a site counts as written.
+# Where a row without a site counts as written.  A site that the table of sites lacks
+# gets the zone only: its order is not declared, and the path decides it.
 DEFAULT_ZONE, DEFAULT_ORDER = "Asia/Kolkata", "dmy"
 
 REFERENCES = [
@@ -58,7 +59,7 @@ def _with_site(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
     return (
         rows.join(F.broadcast(sites), "site", "left")
         .withColumn("tz_name", F.coalesce("tz_name", F.lit(DEFAULT_ZONE)))
-        .withColumn("date_order", F.coalesce("date_order", F.lit(DEFAULT_ORDER)))
+        .withColumn("date_order", F.when(F.col("site").isNull(), DEFAULT_ORDER).otherwise(F.col("date_order")))
     )
 
 
