@@ -58,3 +58,10 @@ def test_rare_label_keeps_its_two_best(spark, tmp_path, drawn):
             own = [i for i in np.flatnonzero(labels == label) if i != q]
             want |= {(q, label, int(i), n) for n, i in enumerate(sorted(own, key=lambda i: (-scores[q][i], i))[:2], 1)}
     assert got == want
+
+
+def test_probe_ranks_by_the_rounded_score(spark, tmp_path):
+    """Scores that are equal to six digits go by id, over the rows of every label."""
+    vectors = np.array([[1.0, 0.0]] + [[0.5 + i * 6e-8, 0.1] for i in range(7)])
+    got = [(r["vec_id"], r["rank"], r["score"]) for r in Q.vec_ivf_probe(spark, folder_of(spark, tmp_path, vectors, np.arange(8))).collect()]
+    assert sorted(got) == [(1, 1, 0.5), (2, 2, 0.5), (3, 3, 0.5), (4, 4, 0.5), (5, 5, 0.5)]

@@ -83,8 +83,8 @@ def vec_label_centroid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vec_ivf_probe(spark: SparkSession, folder: str) -> DataFrame:
-    """V5, K5: the five best of every query by inner product; every row is searched, no index is kept."""
-    return _top(spark, folder, 5, "ip").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    """V5, K5: the five best of every query by inner product to six digits; every row is searched, no index is kept."""
+    return _top(spark, folder, 5, "ip", digits=6).select("query_id", "vec_id", "rank", "score")
 
 
 def vec_topk_per_label(spark: SparkSession, folder: str) -> DataFrame:
