@@ -80,11 +80,14 @@ def c_entities(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def conf_params(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, line_no, name, value): S4; key=value, else key:value, comments and quotes stripped."""
-    lines = lines_of(df, keys, text).withColumn("line", F.trim("line")).where(~F.col("line").rlike("^(#|//|;)") & (F.col("line") != ""))
-    pair = r"^([A-Za-z_][A-Za-z0-9_.-]*)\s*[=:]\s*(.*)$"
-    value = F.trim(F.regexp_replace(F.regexp_extract("line", pair, 2), r"\s+[#;].*$", ""))
-    bare = F.regexp_replace(F.regexp_replace(value, ";$", ""), "^[\"'](.*)[\"']$", "$1")
+    """(keys, line_no, name, value): S4; key=value, else key:value, comments and quotes stripped.
+
+    Blanks, tabs and a byte order mark before the name and white space behind the value are left
+    out; a value may hold any character but a line feed."""
+    lines = lines_of(df, keys, text).withColumn("line", F.regexp_replace("line", r"^[\s\uFEFF]+|\s+$", "")).where(~F.col("line").rlike("^(#|//|;)") & (F.col("line") != ""))
+    pair = r"(?s)^([A-Za-z_][A-Za-z0-9_.-]*)\s*[=:]\s*(.*)$"
+    value = F.trim(F.regexp_replace(F.regexp_extract("line", pair, 2), r"(?s)\s+[#;].*$", ""))
+    bare = F.regexp_replace(F.regexp_replace(value, r";\z", ""), r"(?s)^(?:\"(.*)\"|'(.*)')\z", "$1$2")
     return lines.where(F.col("line").rlike(pair)).select(*keys, "line_no", F.regexp_extract("line", pair, 1).alias("name"), bare.alias("value"))
 
 
