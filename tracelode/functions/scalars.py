@@ -115,3 +115,16 @@ def text_function(answer: Callable[[pd.Series], pd.Series] | None = None):
         return given(prompts)
 
     return apply
+
+
+def readable_json(value: Column) -> Column:
+    """Whether value is one JSON text and nothing else; false where null.
+
+    A key may stand twice in an object; NaN and Infinity are numbers; nesting goes to about 1,000 levels.
+    """
+    # The parser stops behind the first value, so value is read inside a list and inside an object:
+    # what follows or closes too early is broken in one of the two.
+    strict = {"allowSingleQuotes": "false"}
+    listed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>", strict)
+    kept = F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string, bad string", strict | {"columnNameOfCorruptRecord": "bad"})
+    return F.coalesce((F.size(listed) == 1) & kept["bad"].isNull(), F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelode.functions import scalars as C
 from tracelode.operators import text as T
 from tracelode.operators import vectors as V
 from tracelode.tables import table
@@ -185,11 +186,11 @@ def text_json_checked(spark: SparkSession, folder: str) -> DataFrame:
         # Repeated deliveries count once.
         part = rows.select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), F.explode(cells).alias("c")).select("table_name", "key", "c.column_name", "c.value").distinct()
         found = part if found is None else found.unionByName(part)
-    parsed = F.try_parse_json("value")
-    return found.groupBy("table_name", "column_name").agg(
+    read = found.withColumn("read", C.readable_json(F.col("value")))
+    return read.groupBy("table_name", "column_name").agg(
         F.count_if(F.col("value").isNull()).alias("n_null"),
-        F.count_if(parsed.isNotNull()).alias("n_read"),
-        F.count_if(F.col("value").isNotNull() & parsed.isNull()).alias("n_bad"),
+        F.count_if("read").alias("n_read"),
+        F.count_if(F.col("value").isNotNull() & ~F.col("read")).alias("n_bad"),
     )
 
 
